@@ -31,14 +31,14 @@ def _total(values: Column) -> Column:
 
 
 def array_mean(values: Column) -> Column:
-    return _total(values) / F.size(values)
+    return F.try_divide(_total(values), F.size(values))
 
 
 def coefficient_of_variation(values: Column) -> Column:
     """Sample deviation over mean; 1 when undefined, 0 when constant."""
     n, mean = F.size(values), array_mean(values)
     spread = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    cv = F.sqrt(spread / (n - 1)) / mean
+    cv = F.try_divide(F.sqrt(F.try_divide(spread, n - 1)), mean)
     return F.when((F.coalesce(n, F.lit(0)) < 2) | (mean == 0), 1.0).otherwise(cv)
 
 
@@ -46,7 +46,8 @@ def jitter(values: Column) -> Column:
     """Mean absolute deviation over mean; 1 when undefined."""
     n, mean = F.size(values), array_mean(values)
     spread = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.abs(x - mean))
-    return F.when((F.coalesce(n, F.lit(0)) < 2) | (mean == 0), 1.0).otherwise(spread / n / mean)
+    return F.when((F.coalesce(n, F.lit(0)) < 2) | (mean == 0), 1.0).otherwise(
+        F.try_divide(spread, n * mean))
 
 
 _PERIODICITY = T.StructType([
@@ -59,8 +60,8 @@ _PERIODICITY = T.StructType([
 
 @F.pandas_udf(_PERIODICITY)
 def _periodicity(gaps: pd.Series, rate: pd.Series) -> pd.DataFrame:
-    # Series of equal length share one transform call. Powers below 1e-9 of the
-    # total are rounding noise and count as zero, so ties pick the lowest bin.
+    # Series of equal length share one transform call. Power shares are compared at nine
+    # decimals, so bins that tie up to rounding noise resolve to the lowest one.
     out = np.zeros((len(gaps), 4))
     by_length: dict[int, list[int]] = {}
     kept: list[np.ndarray | None] = []
@@ -73,8 +74,7 @@ def _periodicity(gaps: pd.Series, rate: pd.Series) -> pd.DataFrame:
     for n, rows in by_length.items():
         power = np.abs(np.fft.fft(np.stack([kept[r] for r in rows]), axis=1)[:, : n // 2]) ** 2
         total = power.sum(axis=1)
-        power[power < 1e-9 * total[:, None]] = 0.0
-        best = power[:, 1:].argmax(axis=1) + 1
+        best = np.round(power / total[:, None], 9)[:, 1:].argmax(axis=1) + 1
         chosen = power[np.arange(len(rows)), best]
         freq = best * rate.to_numpy(dtype=float)[rows] / n
         out[rows, 0] = freq
@@ -137,6 +137,6 @@ def size_sequence_stats(sizes: Column) -> Column:
         return F.when(n > 0, value).otherwise(0.0)
 
     return F.struct(or_zero(mean).alias("mean_size"), or_zero((low + high) / 2).alias("median_size"),
-                    or_zero(F.sqrt(spread / n)).alias("std_size"),
+                    or_zero(F.sqrt(F.try_divide(spread, n))).alias("std_size"),
                     or_zero(F.array_min(values)).alias("min_size"),
                     or_zero(F.array_max(values)).alias("max_size"))

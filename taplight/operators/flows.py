@@ -79,10 +79,12 @@ def export_flows(packets: DataFrame, idle: float = S.FLOW_IDLE_SECONDS,
     cut = anchored_groups(keyed, ["flow_id"], "ts", ["ts", "packet_id"], active, idle,
                           is_closing(F.col("flags"), F.col("protocol")), name="_cut",
                           bucket_seconds=bucket_seconds)
+    # A record lasts at most ``active`` seconds, so its packets can be numbered directly.
     record = ["flow_id", *FIVE_TUPLE, "_cut_run", "_cut"]
-    numbered = running(bucketed(cut, F.col("ts"), bucket_seconds), ["flow_id", "_cut_run", "_cut"],
-                       ["ts", "packet_id"], {"_pos": (F.lit(1).cast("bigint"), "sum")})
-    return _aggregate(numbered, record, with_series=True).drop("_cut", "_cut_run")
+    position = F.row_number().over(
+        Window.partitionBy("flow_id", "_cut_run", "_cut").orderBy("ts", "packet_id"))
+    return _aggregate(cut.withColumn("_pos", position), record, with_series=True) \
+        .drop("_cut", "_cut_run")
 
 
 def expire_flows(flows: DataFrame, now: float, ttl: float = S.FLOW_TTL_SECONDS) -> DataFrame:

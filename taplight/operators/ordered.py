@@ -42,14 +42,9 @@ def with_carry(df: DataFrame, keys: Sequence[str],
     return df.join(offsets, [*keys, BUCKET])
 
 
-def _so_far(keys: Sequence[str], order: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-
-
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            columns: Mapping[str, tuple[Column, str]]) -> DataFrame:
-    """Running sum/min/max per key up to and including each row.
+            columns: Mapping[str, tuple[Column, str]], inclusive: bool = True) -> DataFrame:
+    """Running sum/min/max per key up to each row, by default including it.
 
     ``columns`` maps an output name to (row expression, 'sum' | 'min' | 'max'). Needs a
     bucket column (see ``bucketed``) that grows with the order columns.
@@ -57,7 +52,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     rows = df.withColumns({f"_v_{n}": e for n, (e, _) in columns.items()})
     carried = with_carry(rows, keys, {
         f"_c_{n}": (_CARRY[how](f"_v_{n}"), how) for n, (_, how) in columns.items()})
-    here = _so_far(keys, order)
+    here = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     out = {}
     for name, (_, how) in columns.items():
         local, carry = _CARRY[how](f"_v_{name}").over(here), F.col(f"_c_{name}")
@@ -70,19 +66,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return carried.withColumns(out).drop(*drop)
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-             name: str, fields: Sequence[str]) -> DataFrame:
-    """Struct of ``fields`` of the row before this one in its key (null for the first).
-
-    ``fields`` must start with the order columns, so the latest row is the largest struct.
-    """
-    row = F.struct(*fields)
-    carried = with_carry(df.withColumn("_row", row), keys, {"_c_prev": (F.max("_row"), "max")})
-    before = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    return carried.withColumn(
-        name, F.coalesce(F.lag("_row").over(before), F.col("_c_prev"))).drop("_row", "_c_prev")
-
-
 CHUNK = "_chunk"
 HOME = "_home"
 
@@ -135,56 +118,91 @@ def trailing_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     return out.where(HOME).drop(CHUNK, HOME)
 
 
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+         opens: Callable[[Column], Column], fields: Sequence[str] = (),
+         name: str = "_run") -> DataFrame:
+    """Name each row's run by the order columns of the row that opened it.
+
+    ``opens`` tells from the previous row of the key (a struct of the order columns and
+    ``fields``) whether this row opens a run; a key's first row always does. One pass:
+    a bucket reports its first and last row and its last opening, and the bucket scan
+    settles whether the first row opens given the bucket before.
+    """
+    at, row = F.struct(*order), F.struct(*order, *fields)
+    local = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    linked = df.withColumn("_before", F.lag(row).over(local))
+    inner = F.col("_before").isNotNull() & opens(F.col("_before"))
+    summary = linked.groupBy(*keys, BUCKET).agg(
+        F.min(row).alias("_first"), F.max(row).alias("_last"),
+        F.max(F.when(inner, at)).alias("_inner"))
+    scan = Window.partitionBy(*keys).orderBy(BUCKET)
+    placed = summary.withColumn("_tail", F.lag("_last").over(scan)) \
+        .select(*keys, BUCKET, "_tail", "_inner", F.col("_first.*"))
+    head = F.col("_tail").isNull() | opens(F.col("_tail"))
+    opened = F.coalesce("_inner", F.when(head, at))
+    offsets = placed.select(
+        *keys, BUCKET, head.alias("_head"), F.last(opened, ignorenulls=True).over(
+            scan.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    joined = linked.join(offsets, [*keys, BUCKET])
+    is_open = F.when(F.col("_before").isNull(), F.col("_head")).otherwise(inner)
+    latest = F.max(F.when(is_open, at)).over(
+        local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return joined.withColumn(name, F.coalesce(latest, F.col("_carry"))) \
+                 .drop("_before", "_head", "_carry", BUCKET)
+
+
 def anchored_groups(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
                     width: float, idle: float | None = None, closes: Column | None = None,
                     name: str = "group_start", bucket_seconds: float = 3600.0,
                     span_limit: int = 100_000) -> DataFrame:
-    """Start time of the fixed-width group each row falls in.
+    """First time of the fixed-width group each row falls in, and its run.
 
     A group opens at its first row and takes rows less than ``width`` after that row, so
-    its start never slides. Rows more than ``idle`` apart, and the row after one that
-    ``closes``, always open a new group. These certain openings cut a key into runs; only
-    inside a run does one group's start depend on the one before.
+    its start never slides. Rows ``idle`` or more after the one before, and the row after
+    one that ``closes``, always open a new group. These certain openings cut a key into
+    runs; only inside a run does one group's start depend on the group before.
 
-    Runs shorter than ``width`` are one group. For longer ones the distinct times are
+    Runs shorter than ``width`` are one group. In longer ones the distinct times are
     folded per run while they number at most ``span_limit``; larger runs are resolved by
-    pointer doubling over the rows, so that no group is ever gathered in one place.
+    pointer doubling, so that no group is ever gathered in one place.
     """
     gap = width if idle is None else min(idle, width)
-    rows = df.withColumn("_closes", F.coalesce(closes, F.lit(False)) if closes is not None
-                         else F.lit(False))
-    linked = previous(bucketed(rows, F.col(ts), bucket_seconds), keys, order, "_prev",
-                      [*order, "_closes"])
-    opens = F.col("_prev").isNull() | F.col("_prev._closes") \
-        | (F.col(ts) >= F.col(f"_prev.{ts}") + gap)
-    # A run is named by its first row's order columns.
-    run_of = running(linked.drop("_prev").withColumn("_opens", opens), keys, order, {
-        "_run": (F.when(F.col("_opens"), F.struct(*order)), "max")})
-    runs = run_of.groupBy(*keys, "_run").agg(
-        F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    long_runs = runs.where(F.col("_hi") >= F.col("_lo") + width).drop("_lo", "_hi")
-    points = run_of.select(*keys, "_run", F.col(ts).alias("_t")).distinct() \
-                   .join(long_runs, [*keys, "_run"])
-    # Row counts per key bound the run sizes, and are far cheaper to ask for.
-    if df.groupBy(*keys).count().where(F.col("count") > span_limit).isEmpty():
-        starts = _fold_starts(points, keys, width)
-    else:
-        starts = _fold_starts(points.where(F.col("_n") <= span_limit), keys, width) \
-            .unionByName(_doubling_starts(points.where(F.col("_n") > span_limit), keys, width))
-    # Opening rows of runs are starts; inside long runs so is the first row at each start time.
-    marks = starts.select(*keys, "_run", F.col("_t").alias(ts), F.lit(True).alias("_is_start"))
-    marked = run_of.join(marks, [*keys, "_run", ts], "left")
-    start = F.when(F.col("_opens") | F.coalesce(F.col("_is_start"), F.lit(False)),
-                   F.struct("_run", F.col(ts).alias("_t")))
-    return running(marked, keys, order, {"_group": (start, "max")}) \
-        .withColumn(name, F.col("_group._t")) \
-        .withColumn(f"{name}_run", F.to_json("_run")) \
-        .drop("_opens", "_run", "_is_start", "_group", "_closes", BUCKET)
-
-
-def _fold_starts(points: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
+    rows = df.withColumn("_closes", F.lit(False) if closes is None
+                         else F.coalesce(closes, F.lit(False)))
+    named = cut_lineage(runs(
+        bucketed(rows, F.col(ts), bucket_seconds), keys, order,
+        lambda prev: prev["_closes"] | (F.col(ts) >= prev[ts] + gap), ["_closes"]))
+    run = [*keys, "_run"]
+    spans = named.groupBy(*run).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"),
+                                    F.count(F.lit(1)).alias("_n"))
+    long_runs = spans.where(F.col("_hi") >= F.col("_lo") + width)
+    points = named.select(*run, F.col(ts).alias("_t")).distinct() \
+                  .join(long_runs.drop("_lo"), run)
+    starts = _fold_starts(points.where(F.col("_n") <= span_limit), run, width)
+    if not long_runs.where(F.col("_n") > span_limit).isEmpty():
+        starts = starts.unionByName(
+            _doubling_starts(points.where(F.col("_n") > span_limit), run, width))
+    short = spans.where(F.col("_hi") < F.col("_lo") + width).select(
+        *run, F.col("_lo").alias("_start"), F.lit(float("inf")).alias("_stop"), F.col("_hi"))
+    following = F.lead("_t").over(Window.partitionBy(*run).orderBy("_t"))
+    ranges = starts.select(*run, F.col("_t").alias("_start"), F.col("_hi"),
+                           F.coalesce(following, F.lit(float("inf"))).alias("_stop"))
+    # Neighbouring rows of a run are less than ``gap`` apart, so a group reaches into at
+    # most three cells of ``width``: rows find it by an equi-join on the cell.
+    cells = short.unionByName(ranges).select(
+        *run, "_start", "_stop", F.explode(F.sequence(
+            F.floor(F.col("_start") / width),
+            F.floor(F.least("_stop", "_hi") / width))).alias("_cell"))
+    return named.withColumn("_cell", F.floor(F.col(ts) / width)) \
+        .join(cells, [*run, "_cell"]) \
+        .where((F.col(ts) >= F.col("_start")) & (F.col(ts) < F.col("_stop"))) \
+        .withColumnsRenamed({"_start": name, "_run": f"{name}_run"}) \
+        .drop("_stop", "_cell", "_closes")
+
+
+def _fold_starts(points: DataFrame, run: Sequence[str], width: float) -> DataFrame:
     """Group starts of runs small enough to hold: one ordered pass per run."""
-    times = points.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
+    times = points.groupBy(*run, "_hi").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
     first = F.get("_ts", F.lit(0))
     fold = F.aggregate(
         F.col("_ts"), F.struct(first.alias("last"), F.array(first).alias("starts")),
@@ -192,30 +210,31 @@ def _fold_starts(points: DataFrame, keys: Sequence[str], width: float) -> DataFr
             t >= acc["last"] + width,
             F.struct(t.alias("last"), F.array_append(acc["starts"], t).alias("starts")))
         .otherwise(acc), lambda acc: acc["starts"])
-    return times.select(*keys, "_run", F.explode(fold).alias("_t"))
+    return times.select(*run, "_hi", F.explode(fold).alias("_t"))
 
 
-def _doubling_starts(points: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
+def _doubling_starts(points: DataFrame, run: Sequence[str], width: float) -> DataFrame:
     """Group starts of very long runs.
 
     Every time points to the first time at least ``width`` later. The starts are what the
     run's first time reaches; following 1, 2, 4, ... pointers at once finds them in
     log2(number of groups) rounds, each an equi-join.
     """
-    run = [*keys, "_run"]
+    points = cut_lineage(points.select(*run, "_hi", "_t"))
+    probes = points.select(*run, (F.col("_t") + width).alias("_t"), F.lit(0).alias("_kind"),
+                           F.col("_t").alias("_from"))
     both = points.select(*run, "_t", F.lit(1).alias("_kind"), F.col("_t").alias("_from")) \
-        .unionByName(points.select(*run, (F.col("_t") + width).alias("_t"),
-                                   F.lit(0).alias("_kind"), F.col("_t").alias("_from")))
-    # Next point at or after each query time: a running minimum read from the far end.
+                 .unionByName(probes)
+    # Next point at or after each probe: a running minimum read from the far end.
     later = bucketed(both.withColumn("_neg", -F.col("_t")), F.col("_neg"), width) \
         .withColumn("_neg_kind", -F.col("_kind"))
     nxt = running(later, run, ["_neg", "_neg_kind", "_from"], {
         "_next": (F.when(F.col("_kind") == 1, F.col("_t")), "min")})
     jump = cut_lineage(nxt.where((F.col("_kind") == 0) & F.col("_next").isNotNull())
                        .select(*run, F.col("_from").alias("_t"), "_next"))
-    reached = points.groupBy(*run).agg(F.min("_t").alias("_t"))
+    reached = points.groupBy(*run, "_hi").agg(F.min("_t").alias("_t"))
     while not jump.isEmpty():
-        ahead = reached.join(jump, [*run, "_t"]).select(*run, F.col("_next").alias("_t"))
+        ahead = reached.join(jump, [*run, "_t"]).select(*run, "_hi", F.col("_next").alias("_t"))
         reached = cut_lineage(reached.unionByName(ahead).distinct())
         hop = jump.select(*run, F.col("_t").alias("_next"), F.col("_next").alias("_far"))
         jump = cut_lineage(jump.join(hop, [*run, "_next"])

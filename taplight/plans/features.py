@@ -177,9 +177,10 @@ def dft_ctes(source: str, ident: str, gaps: str) -> str:
       + list_sum([a[j+1]*sin(2*pi()*k*j/len(a)) for j in range(len(a))])**2 AS p
     FROM (SELECT *, unnest(range(len(a) // 2)) AS k FROM pos WHERE len(a) >= 4)),
   tot AS (SELECT {ident}, n, sum(p) AS total FROM pw GROUP BY ALL),
-  clean AS (SELECT {ident}, n, k, total, CASE WHEN p < 1e-9*total THEN 0.0 ELSE p END AS p
+  clean AS (SELECT {ident}, n, k, total, p, round(p / total, 9) AS share
     FROM pw JOIN tot USING ({ident}, n)),
-  dft AS (SELECT {ident}, n, total, arg_max(k, (p, -k)) AS k, max(p) AS p FROM clean
+  dft AS (SELECT {ident}, n, total, arg_max(k, (share, -k)) AS k,
+    arg_max(p, (share, -k)) AS p FROM clean
     WHERE k > 0 GROUP BY ALL)"""
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC keeps epoch arithmetic stable; AQE sizes shuffles and splits skewed joins.
 DEFAULTS = {
@@ -25,14 +27,26 @@ def build_session(app_name: str = "taplight", master: str | None = None,
 
 
 def checkpoint_ready(spark: SparkSession) -> bool:
-    """True when the cluster names a reliable checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """True when a reliable checkpoint folder is set.
+
+    The folder is the one the session names. Only a local master, where the driver and
+    the executors share a disk, gets a folder of its own when none is named.
+    """
     context = spark.sparkContext
-    if folder and context.getCheckpointDir() is None:
+    if context.getCheckpointDir() is not None:
+        return True
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="taplight-checkpoint-")
+    if folder:
         context.setCheckpointDir(folder)
-    return context.getCheckpointDir() is not None
+    return bool(folder)
+
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint where a folder is set, else the plan as it is.
 
-def cut_lineage(df):
-    """Reliable checkpoint where the session names a folder, else the plan as is."""
+    Used where a result is read several times: recomputing it would multiply with every
+    ordered pass stacked on top, and a lost executor would replay the whole chain.
+    """
     return df.checkpoint(eager=True) if checkpoint_ready(df.sparkSession) else df

@@ -18,7 +18,7 @@ def main() -> None:
     wanted = sys.argv[2:]
     spark = build_session("check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
-        "spark.ui.enabled": "false"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"/root/testdata/{sf}"
     oracles, bad = entry.oracle_sql(), 0
@@ -33,7 +33,7 @@ def main() -> None:
             else:
                 ok, note = True, f"{df.count()} rows (no SQL)"
         except Exception as e:
-            ok, note = False, f"{type(e).__name__}: {str(e)[:600]}"
+            ok, note = False, f"{type(e).__name__}: {str(e)[:400]}"
         bad += not ok
         print(f"{'ok ' if ok else 'BAD'} {name} {time.time() - t:.1f}s {note}", flush=True)
     print("failures:", bad)

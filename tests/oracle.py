@@ -43,7 +43,9 @@ def duck_rows(sql: str, sf_dir: str):
 
 
 def key(row):
-    return tuple((v is None, str(type(v)), str(v)) for v in row)
+    """Order by the exact values first, so near-equal doubles cannot swap rows."""
+    exact = tuple((v is None, str(v)) for v in row if not isinstance(v, float))
+    return exact + tuple((False, f"{v:+.8e}") for v in row if isinstance(v, float))
 
 
 def compare(df, sql: str, sf_dir: str) -> tuple[bool, str]:
