@@ -87,20 +87,22 @@ def digit_ratio(name: Column) -> Column:
 
 def ngram_log_score(text: Column, n: int = 2) -> Column:
     """Sum of ln p over the sliding n-grams; shorter text gives 0."""
-    lower = F.lower(text)
     known = [(g, p) for g, p in S.NGRAM_PROBABILITY.items() if len(g) == n]
     table = F.create_map(*[F.lit(v) for pair in known for v in pair]) if known else None
-    count = F.length(lower) - F.lit(n - 1)
+    unknown = F.lit(S.NGRAM_UNKNOWN)
 
-    def log_p(i):
-        gram = F.substring(lower, i, F.lit(n))
-        p = F.coalesce(table[gram], F.lit(S.NGRAM_UNKNOWN)) if table is not None \
-            else F.lit(S.NGRAM_UNKNOWN)
-        return F.log(p)
+    def score(lower):
+        def log_p(i):
+            gram = F.substring(lower, i, F.lit(n))
+            return F.log(F.coalesce(table[gram], unknown) if table is not None else unknown)
 
-    total = F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), F.lit(0.0),
-                        lambda acc, i: acc + log_p(i))
-    return F.when(count < 1, 0.0).otherwise(total)
+        count = F.length(lower) - F.lit(n - 1)
+        total = F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), F.lit(0.0),
+                            lambda acc, i: acc + log_p(i))
+        return F.when(count < 1, 0.0).otherwise(total)
+
+    # Bound once, so the lower-cased text is not rebuilt for every n-gram.
+    return F.get(F.transform(F.array(F.lower(text)), score), F.lit(0))
 
 
 def domain_length(name: Column) -> Column:

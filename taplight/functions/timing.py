@@ -26,28 +26,42 @@ def inter_arrival_times(series: Column) -> Column:
     return F.when(n >= 2, gaps).otherwise(F.array().cast("array<double>"))
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    A plain column expression inside a lambda would be evaluated again per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def array_mean(values: Column) -> Column:
-    return F.try_divide(_total(values), F.size(values))
+    return _let(values, lambda v: F.try_divide(
+        F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x), F.size(v)))
+
+
+def _moments(values: Column, deviation, finish) -> Column:
+    """``finish(sum of deviations from the mean, n, mean)`` of one array."""
+    def with_mean(s):
+        total = F.aggregate(s["v"], F.lit(0.0), lambda acc, x: acc + deviation(x - s["m"]))
+        return finish(total, F.size(s["v"]), s["m"])
+
+    return _let(values, lambda v: _let(
+        F.struct(v.alias("v"), array_mean(v).alias("m")), with_mean))
 
 
 def coefficient_of_variation(values: Column) -> Column:
     """Sample deviation over mean; 1 when undefined, 0 when constant."""
-    n, mean = F.size(values), array_mean(values)
-    spread = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    cv = F.try_divide(F.sqrt(F.try_divide(spread, n - 1)), mean)
-    return F.when((F.coalesce(n, F.lit(0)) < 2) | (mean == 0), 1.0).otherwise(cv)
+    return F.coalesce(_moments(
+        values, lambda d: d * d,
+        lambda total, n, mean: F.when((n >= 2) & (mean != 0), F.try_divide(
+            F.sqrt(F.try_divide(total, n - 1)), mean))), F.lit(1.0))
 
 
 def jitter(values: Column) -> Column:
     """Mean absolute deviation over mean; 1 when undefined."""
-    n, mean = F.size(values), array_mean(values)
-    spread = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.abs(x - mean))
-    return F.when((F.coalesce(n, F.lit(0)) < 2) | (mean == 0), 1.0).otherwise(
-        F.try_divide(spread, n * mean))
+    return F.coalesce(_moments(
+        values, F.abs, lambda total, n, mean: F.when(
+            (n >= 2) & (mean != 0), F.try_divide(total, n * mean))), F.lit(1.0))
 
 
 _PERIODICITY = T.StructType([
@@ -127,16 +141,14 @@ def packet_size_sequence(sizes: Column, n: int = 20) -> Column:
 
 def size_sequence_stats(sizes: Column) -> Column:
     """Struct of mean, median, population deviation, min and max; zeros when empty."""
-    values = F.coalesce(sizes, F.array()).cast("array<double>")
-    n, mean, ordered = F.size(values), array_mean(values), F.array_sort(values)
-    spread = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(n / 2).cast("int"))
-
-    def or_zero(value):
-        return F.when(n > 0, value).otherwise(0.0)
-
-    return F.struct(or_zero(mean).alias("mean_size"), or_zero((low + high) / 2).alias("median_size"),
-                    or_zero(F.sqrt(F.try_divide(spread, n))).alias("std_size"),
-                    or_zero(F.array_min(values)).alias("min_size"),
-                    or_zero(F.array_max(values)).alias("max_size"))
+    values = F.array_sort(F.coalesce(sizes, F.array()).cast("array<double>"))
+
+    def stats(v):
+        n = F.size(v)
+        low, high = F.get(v, F.floor((n - 1) / 2).cast("int")), F.get(v, F.floor(n / 2).cast("int"))
+        spread = _moments(v, lambda d: d * d, lambda total, k, _: F.sqrt(F.try_divide(total, k)))
+        named = {"mean_size": array_mean(v), "median_size": (low + high) / 2,
+                 "std_size": spread, "min_size": F.array_min(v), "max_size": F.array_max(v)}
+        return F.struct(*[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in named.items()])
+
+    return _let(values, stats)
