@@ -253,12 +253,13 @@ def _forest(v):
     from ..operators.common import with_rates
     rated = cut_lineage(with_rates(_labelled(v)))
     benign = rated.where(F.col("label").startswith("benign"))
-    return rated, benign, M.isolation_forest(benign, ("pkt_rate", "byte_rate"))
+    reference = benign.where(F.col("label") == "benign_keepalive")
+    return rated, reference, M.isolation_forest(benign, ("pkt_rate", "byte_rate"))
 
 
 @query("isolation_forest")
 def _(v):
-    rated, _benign, forest = _forest(v)
+    rated, _reference, forest = _forest(v)
     return forest.transform(rated).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"),
         F.count_if(F.col("score") < 0).alias("anomalous"))
@@ -266,14 +267,14 @@ def _(v):
 
 @query("ddos_calibration")
 def _(v):
-    _rated, benign, forest = _forest(v)
-    return ddos.ddos_calibration(forest.transform(benign))
+    _rated, reference, forest = _forest(v)
+    return ddos.ddos_calibration(forest.transform(reference))
 
 
 @query("ddos_isolation_forest")
 def _(v):
-    rated, benign, forest = _forest(v)
-    low = ddos.ddos_calibration(forest.transform(benign)).first()
+    rated, reference, forest = _forest(v)
+    low = ddos.ddos_calibration(forest.transform(reference)).first()
     return ddos.ddos_forest_detect(forest.transform(rated), low["score_lo"], low["score_hi"]) \
         .select("flow_id", "threat_class", "severity", "confidence")
 

@@ -80,7 +80,8 @@ class Views:
             F.when(line == 5, F.md5((cust % 50).cast("string"))).otherwise("").alias("ja3"),
             F.when(dns, F.concat(F.substring(F.md5(F.col("p0").cast("string")), 1,
                                              (8 + F.col("p1") % 25).cast("int")),
-                                 F.lit(".example.com"))).otherwise("").alias("dns_query"),
+                                 F.when(F.col("p1") % 2 == 0, ".example.com").otherwise(".net")))
+             .otherwise("").alias("dns_query"),
             F.when(dns, F.when(F.col("p0") % 4 == 0, 16).otherwise(1)).otherwise(0)
              .alias("dns_qtype"),
             raw.alias("raw_features"))
@@ -320,7 +321,7 @@ SQL = {
     list_distinct([CAST(p0 % 1024 AS INTEGER), CAST(p1 % 1024 AS INTEGER)]) AS dst_ports,
     CASE WHEN l_linenumber=5 THEN md5(CAST(o_custkey % 50 AS VARCHAR)) ELSE '' END AS ja3,
     CASE WHEN l_linenumber=6 THEN substr(md5(CAST(p0 AS VARCHAR)), 1, CAST(8 + p1 % 25 AS INTEGER))
-      || '.example.com' ELSE '' END AS dns_query,
+      || CASE WHEN p1 % 2 = 0 THEN '.example.com' ELSE '.net' END ELSE '' END AS dns_query,
     CASE WHEN l_linenumber=6 THEN CASE WHEN p0 % 4 = 0 THEN 16 ELSE 1 END ELSE 0 END AS dns_qtype,
     CASE WHEN l_linenumber=7 THEN CAST(p0 % 60 AS BIGINT) ELSE 0 END AS sum_ports,
     CASE WHEN l_linenumber=7 THEN CAST(p1 % 40 AS BIGINT) ELSE 0 END AS sum_hosts,
