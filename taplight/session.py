@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ordered pass stacked on top, and a lost executor would replay the whole chain.
     """
     return df.checkpoint(eager=True) if checkpoint_ready(df.sparkSession) else df
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    if not checkpoint_ready(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
