@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import settings as S
+from ..session import cut_lineage
 from .common import detections, evidence, text, with_rates
 from .ordered import CHUNK, HOME, bucketed, chunked, sorted_scan
 
@@ -117,8 +118,9 @@ def ddos_detect(flows: DataFrame) -> DataFrame:
                              .withColumn("_amp", F.coalesce(_amplifier_hit(), F.lit(False)))
     fires = F.col("_rate") | F.col("_amp")
     hit = rated.where(fires)
-    context = rated.join(hit.select("dst_ip").distinct(), "dst_ip", "left_semi")
-    entropy = source_ip_entropy(context, fires)
+    context = rated.select("dst_ip", "start_time", "flow_id", "src_ip", fires.alias("_fires")) \
+                   .join(hit.select("dst_ip").distinct(), "dst_ip", "left_semi")
+    entropy = source_ip_entropy(cut_lineage(context), F.col("_fires"))
     scored = hit.join(entropy, "flow_id")
     rate, size, h = F.col("pkt_rate"), F.col("avg_pkt"), F.col("src_ip_entropy")
     conf = F.when(F.col("_rate"), rate_confidence(rate, S.RATE_THRESHOLD)) \

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions import flow_duration, flow_key
-from .ordered import anchored_groups, bucketed, running
+from .ordered import BUCKET, anchored_groups, bucketed, with_carry
 
 FIVE_TUPLE = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
@@ -22,13 +22,11 @@ def _last_non_empty(value: str, *order: str) -> Column:
     return F.max_by(value, F.when(filled, F.struct(*order)))
 
 
-def _aggregate(packets: DataFrame, keys: list[str], with_series: bool) -> DataFrame:
-    """One row per key. ``_pos`` (packet position in its flow) bounds what is collected."""
+def _counters(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact counters, sets and last-seen fields per key; all of it combines map-side."""
     at = ("ts", "packet_id")
     has_name = F.coalesce(F.col("dns_query"), F.lit("")) != ""
-    series = F.array_sort(F.collect_list(
-        F.when(F.col("_pos") <= S.SERIES_CAP, F.struct("ts", "packet_id", "packet_size"))))
-    aggregates = [
+    flows = packets.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("packet_count"),
         F.sum("packet_size").cast("bigint").alias("bytes_transferred"),
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
@@ -39,30 +37,37 @@ def _aggregate(packets: DataFrame, keys: list[str], with_series: bool) -> DataFr
         F.coalesce(F.max_by("dns_qtype", F.when(has_name, F.struct(*at))),
                    F.lit(0)).alias("dns_qtype"),
         F.max_by("tls_counts", F.when(F.size("tls_counts") > 0, F.struct(*at)))
-         .alias("tls_counts"),
-        *([series.alias("_series")] if with_series else []),
-    ]
-    flows = packets.groupBy(*keys).agg(*aggregates)
-    out = flows.withColumn("duration_seconds", flow_duration(
+         .alias("tls_counts"))
+    return flows.withColumn("duration_seconds", flow_duration(
         F.col("packet_count"), F.col("start_time"), F.col("end_time")))
-    if not with_series:
-        return out
-    return out.withColumns({
-        "timestamps": F.transform("_series", lambda x: x["ts"]),
-        "packet_sizes": F.transform("_series", lambda x: x["packet_size"]),
-    }).drop("_series")
+
+
+def _series(heads: DataFrame, keys: list[str]) -> DataFrame:
+    """Time and size series of packets already cut to the first 64 per key."""
+    packed = heads.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("ts", "packet_id", "packet_size"))).alias("_s"))
+    return packed.select(*keys, F.transform("_s", lambda x: x["ts"]).alias("timestamps"),
+                         F.transform("_s", lambda x: x["packet_size"]).alias("packet_sizes"))
 
 
 def build_flows(packets: DataFrame, bucket_seconds: float = 60.0) -> DataFrame:
     """One flow per 5-tuple: exact counters, first 64 packets as series.
 
-    Positions come from the two-level running count, so a flood flow is numbered in
-    parallel and only its first packets are ever gathered.
+    Counters never shuffle raw packets. The series read three narrow columns: buckets that
+    start past a flow's 64th packet drop out by count, and the rest keep 64 rows at most,
+    so a flood flow gathers no more than any other.
     """
-    keyed = bucketed(with_flow_key(packets), F.col("ts"), bucket_seconds)
-    numbered = running(keyed, ["flow_id"], ["ts", "packet_id"],
-                       {"_pos": (F.lit(1).cast("bigint"), "sum")})
-    return _aggregate(numbered, ["flow_id", *FIVE_TUPLE], with_series=True)
+    keyed = with_flow_key(packets)
+    narrow = bucketed(keyed.select("flow_id", "ts", "packet_id", "packet_size"),
+                      F.col("ts"), bucket_seconds)
+    before = F.coalesce("_before", F.lit(0))
+    early = with_carry(narrow, ["flow_id"], {"_before": (F.count(F.lit(1)), "sum")}) \
+        .where(before < S.SERIES_CAP)
+    place = F.row_number().over(
+        Window.partitionBy("flow_id", BUCKET).orderBy("ts", "packet_id"))
+    heads = early.withColumn("_n", place).where(F.col("_n") <= S.SERIES_CAP) \
+                 .where(before + F.col("_n") <= S.SERIES_CAP)
+    return _counters(keyed, ["flow_id", *FIVE_TUPLE]).join(_series(heads, ["flow_id"]), "flow_id")
 
 
 def is_closing(flags: Column, protocol: Column) -> Column:
@@ -80,10 +85,11 @@ def export_flows(packets: DataFrame, idle: float = S.FLOW_IDLE_SECONDS,
                           is_closing(F.col("flags"), F.col("protocol")), name="_cut",
                           bucket_seconds=bucket_seconds)
     # A record lasts at most ``active`` seconds, so its packets can be numbered directly.
-    record = ["flow_id", *FIVE_TUPLE, "_cut_run", "_cut"]
-    position = F.row_number().over(
-        Window.partitionBy("flow_id", "_cut_run", "_cut").orderBy("ts", "packet_id"))
-    return _aggregate(cut.withColumn("_pos", position), record, with_series=True) \
+    record = ["flow_id", "_cut_run", "_cut"]
+    place = F.row_number().over(Window.partitionBy(*record).orderBy("ts", "packet_id"))
+    heads = cut.select(*record, "ts", "packet_id", "packet_size") \
+               .withColumn("_n", place).where(F.col("_n") <= S.SERIES_CAP)
+    return _counters(cut, [*record, *FIVE_TUPLE]).join(_series(heads, record), record) \
         .drop("_cut", "_cut_run")
 
 

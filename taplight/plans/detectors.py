@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import beacon, ddos, dns, exfil, flows as FL, scan, slow_rate
 from .features import _ENT, dft_ctes
+from ..session import cut_lineage
 from .registry import query
 
 # ------------------------------------------------------------------ flows
@@ -167,7 +168,7 @@ def _(v):
       CASE WHEN {_RATE_HIT} THEN {_conf(111.0)} ELSE {_conf(20.0)} END AS confidence
     FROM rated WHERE {_RATE_HIT} OR {_AMP_HIT}) JOIN ent USING (flow_id)""", ["flows_v"])
 def _(v):
-    d = ddos.ddos_detect(_small(v))
+    d = ddos.ddos_detect(cut_lineage(_small(v)))
     h = F.filter("evidence", lambda e: e["feature_name"] == "src_ip_entropy")[0]["value"]
     return d.select("flow_id", "threat_class", "confidence", "severity",
                     h.alias("src_ip_entropy"), "model_version")
@@ -250,7 +251,7 @@ _SCAN_HIT = "(unique_dst_ports > 20 OR unique_dst_hosts > 15)"
 @query("scan_fanout_running", f"""WITH {_RUNNING} SELECT flow_id, unique_dst_ports, unique_dst_hosts
     FROM fan""", ["flows_v"])
 def _(v):
-    return scan.scan_fanout_running(v.flows).select("flow_id", "unique_dst_ports", "unique_dst_hosts")
+    return scan.scan_fanout_running(v.stored_flows).select("flow_id", "unique_dst_ports", "unique_dst_hosts")
 
 
 _BATCH = """fan AS (SELECT src_ip, CAST(greatest(any_value(np), max(sum_ports)) AS BIGINT) AS unique_dst_ports,

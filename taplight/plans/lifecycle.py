@@ -21,7 +21,7 @@ _LIFT = """CASE WHEN confidence >= 0.8 AND severity IN ('low','medium') THEN 'hi
   ORDER BY confidence DESC, flow_id LIMIT 100""", ["flows_v"])
 def _(v):
     from ..operators.reports import port_scans
-    alerts = L.to_alerts(scan.scan_detect(v.flows))
+    alerts = L.to_alerts(scan.scan_detect(v.stored_flows))
     return port_scans(alerts).select(
         "flow_id", "source_ip", "threat_class", "severity", "confidence",
         L.evidence_value("unique_dst_ports", raw=None).cast("bigint").alias("unique_dst_ports"),
@@ -30,7 +30,7 @@ def _(v):
 
 @query("detect_all")
 def _(v):
-    return L.detect_all(v.flows).groupBy("detector", "threat_class", "severity").agg(
+    return L.detect_all(v.stored_flows).groupBy("detector", "threat_class", "severity").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 

@@ -44,17 +44,23 @@ def checkpoint_ready(spark: SparkSession) -> bool:
     return bool(folder)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint where a folder is set, else the plan as it is.
-
-    Used where a result is read several times: recomputing it would multiply with every
-    ordered pass stacked on top, and a lost executor would replay the whole chain.
-    """
-    return df.checkpoint(eager=True) if checkpoint_ready(df.sparkSession) else df
-
-
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared checkpoint folder."""
     if not checkpoint_ready(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a table written to the shared folder, or the plan where none is set.
+
+    Used where a result is read several times: recomputing it would multiply with every
+    ordered pass stacked on top, and a lost executor would replay the whole chain. A
+    written table is read back by column and tells the optimizer its true size.
+    """
+    spark = df.sparkSession
+    if not checkpoint_ready(spark):
+        return df
+    path = scratch_folder(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
