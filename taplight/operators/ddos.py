@@ -50,6 +50,7 @@ def ddos_amplifier_rule(flows: DataFrame) -> DataFrame:
 
 
 _ENTROPY = T.StructType([T.StructField("flow_id", T.StringType()),
+                         T.StructField("start_time", T.DoubleType()),
                          T.StructField("src_ip_entropy", T.DoubleType())])
 
 
@@ -59,7 +60,7 @@ def _entropy_scan(window: float, cap: int):
     def scan(batches):
         key, recent, counts, mass = None, deque(), {}, 0.0
         for pdf in batches:
-            ids, values = [], []
+            ids, times, values = [], [], []
             for dst, chunk, ts, src, flow, wanted in zip(
                     pdf["dst_ip"], pdf[CHUNK], pdf["start_time"], pdf["src_ip"],
                     pdf["flow_id"], pdf["_wanted"]):
@@ -84,8 +85,9 @@ def _entropy_scan(window: float, cap: int):
                     else:
                         entropy = (math.log2(n) - mass / n) / math.log2(len(counts))
                     ids.append(flow)
+                    times.append(ts)
                     values.append(entropy)
-            yield pd.DataFrame({"flow_id": ids, "src_ip_entropy": values})
+            yield pd.DataFrame({"flow_id": ids, "start_time": times, "src_ip_entropy": values})
 
     return scan
 
@@ -121,7 +123,7 @@ def ddos_detect(flows: DataFrame) -> DataFrame:
     context = rated.select("dst_ip", "start_time", "flow_id", "src_ip", fires.alias("_fires")) \
                    .join(hit.select("dst_ip").distinct(), "dst_ip", "left_semi")
     entropy = source_ip_entropy(cut_lineage(context), F.col("_fires"))
-    scored = hit.join(entropy, "flow_id")
+    scored = hit.join(entropy, ["flow_id", "start_time"])
     rate, size, h = F.col("pkt_rate"), F.col("avg_pkt"), F.col("src_ip_entropy")
     conf = F.when(F.col("_rate"), rate_confidence(rate, S.RATE_THRESHOLD)) \
             .otherwise(rate_confidence(rate, S.AMPLIFIER_RATE_THRESHOLD))

@@ -54,7 +54,8 @@ def to_alerts(found: DataFrame) -> DataFrame:
     """Alert rows: stable id, final severity, the detector's own severity kept beside it."""
     conf = clip_confidence(F.col("confidence"))
     base = assign_severity(F.col("threat_class"), conf, F.col("severity"))
-    ident = F.substring(F.sha2(F.concat_ws("|", "flow_id", "detector", "threat_class"), 256), 1, 24)
+    ident = F.substring(F.sha2(F.concat_ws(
+        "|", "flow_id", F.col("start_time").cast("string"), "detector", "threat_class"), 256), 1, 24)
     return found.select(
         ident.alias("alert_id"), F.col("start_time").alias("ts"), "flow_id", "threat_class",
         finalize_severity(base, conf).alias("severity"), conf.alias("confidence"),
@@ -71,7 +72,7 @@ def _first_by_name(items: Column) -> Column:
 
 
 def dedup_within_flow(alerts: DataFrame) -> DataFrame:
-    """One alert per flow, class, endpoints and protocol.
+    """One alert per flow record, class, endpoints and protocol.
 
     The first detector's alert stays. A later one that is more confident raises the
     confidence and brings evidence under new names. A flow meets each detector at most
@@ -79,9 +80,9 @@ def dedup_within_flow(alerts: DataFrame) -> DataFrame:
     """
     rank = F.array_position(F.lit(list(DETECTOR_ORDER)), F.col("detector"))
     rows = alerts.withColumns({"_rank": rank, "_row": F.struct("confidence", "evidence")})
-    kept = [c for c in alerts.columns if c not in ("flow_id", *MERGE_KEY)]
+    kept = [c for c in alerts.columns if c not in ("flow_id", "ts", *MERGE_KEY)]
     grouped = rows.groupBy(
-        "flow_id", "threat_class", F.lower("source_ip").alias("_s"),
+        "flow_id", "ts", "threat_class", F.lower("source_ip").alias("_s"),
         F.lower("destination_ip").alias("_d"), "protocol").agg(
         F.min_by(F.struct("source_ip", "destination_ip", *kept), "_rank").alias("_first"),
         F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_row"))),
@@ -94,7 +95,7 @@ def dedup_within_flow(alerts: DataFrame) -> DataFrame:
                 F.concat(acc["evidence"], x["evidence"])).alias("evidence")))
         .otherwise(acc))
     return grouped.withColumn("_m", merged).select(
-        "flow_id", "threat_class", "protocol", "_first.*", F.col("_m.confidence").alias("_conf"),
+        "flow_id", "ts", "threat_class", "protocol", "_first.*", F.col("_m.confidence").alias("_conf"),
         F.col("_m.evidence").alias("_ev")) \
         .withColumns({"confidence": F.col("_conf"), "evidence": F.col("_ev")}) \
         .drop("_conf", "_ev").select(*alerts.columns)
@@ -102,8 +103,8 @@ def dedup_within_flow(alerts: DataFrame) -> DataFrame:
 
 def backfill_identity(alerts: DataFrame, flows: DataFrame) -> DataFrame:
     """Fill unknown addresses and the flow id from the flow the alert came from."""
-    known = flows.select(F.col("flow_id").alias("flow_id"), F.col("src_ip").alias("_src"),
-                         F.col("dst_ip").alias("_dst"))
+    known = flows.groupBy("flow_id").agg(       # records of one flow share its addresses
+        F.first("src_ip", True).alias("_src"), F.first("dst_ip", True).alias("_dst"))
     joined = alerts.join(known, "flow_id", "left")
 
     def filled(have: str, flow_value: str) -> Column:

@@ -156,8 +156,8 @@ _ENTROPY = """win AS (SELECT flow_id, list(src_ip) OVER w AS srcs, list(start_ti
 @query("source_ip_entropy", f"WITH {_ENTROPY} SELECT flow_id, round(h, 6) AS src_ip_entropy FROM ent",
        ["flows_v"])
 def _(v):
-    return ddos.source_ip_entropy(v.flows).withColumn(
-        "src_ip_entropy", F.round("src_ip_entropy", 6))
+    return ddos.source_ip_entropy(v.flows).select(
+        "flow_id", F.round("src_ip_entropy", 6).alias("src_ip_entropy"))
 
 
 @query("ddos_detect", f"""WITH {_RATED_S}, {_ENTROPY} SELECT flow_id, threat_class, confidence,

@@ -122,6 +122,15 @@ def _(v):
     return report_rows(v.alerts).select("alert_id", "severity", "confidence")
 
 
+@query("export_report_json", """SELECT alert_id, evidence[2].feature_name AS second_feature FROM alerts_v
+    WHERE severity = 'high' ORDER BY ts DESC, alert_id DESC LIMIT 100""", ["alerts_v"])
+def _(v):
+    from ..operators.reports import report_rows
+    rows = report_rows(v.alerts, include_raw_features=True, severity="high")
+    return rows.select("alert_id", F.get_json_object("evidence", "$[1].feature_name")
+                       .alias("second_feature"))
+
+
 # ------------------------------------------------------------------ telemetry
 @query("second_buckets", """SELECT CAST(floor(start_time) AS BIGINT) AS second, count(*) AS flows,
     CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(bytes_transferred) AS BIGINT) AS bytes
