@@ -6,8 +6,6 @@ keeps only k rows per task. Every order ends in a unique column, so ties are sta
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -372,6 +370,7 @@ def quick_search(alerts: DataFrame, text: str, limit: int = 20) -> DataFrame:
                                       "severity", "protocol")).orderBy("alert_id").limit(limit)
 
 
+# Alert states a search can name.
 _STATUSES = ("new", "investigating", "resolved", "false_positive")
 
 
