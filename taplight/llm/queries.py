@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_text
+from . import near_text, vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_hyperplane_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.vector_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op5_hyperplane_near_dedup, op6_minhash_near_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
