@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,62 @@ def row_key(*columns: Column) -> Column:
         F.concat(F.lit("v"), F.octet_length(c.cast("string")), F.lit(":"), c.cast("string")))
         for c in columns]
     return F.md5(F.concat(*parts))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows as tables that end where a group of equal keys ends."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if rest is not None:
+            rows = pa.concat_tables([rest, rows])
+        if not rows.num_rows:
+            continue
+        columns = [rows.column(k) for k in keys]
+        last = [c[-1] for c in columns]
+        cut = rows.num_rows
+        while cut and all(c[cut - 1] == v for c, v in zip(columns, last)):
+            cut -= 1
+        rest = rows.slice(cut).combine_chunks()
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def group_sizes(rows: pa.Table, keys: list[str]) -> tuple[list[int], list[int]]:
+    """First row and row count of each group of equal keys in sorted rows."""
+    n = rows.num_rows
+    columns = [rows.column(k).to_pylist() for k in keys]
+    values = list(zip(*columns))
+    first = [i for i in range(n) if i == 0 or values[i] != values[i - 1]]
+    return first, [b - a for a, b in zip(first, first[1:] + [n])]
+
+
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest row that the links i - j reach, for each of n rows."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def likely_in(rows: DataFrame, column: str, wanted: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """Rows whose ``column`` may be among the values of ``wanted`` (one column, same type).
+
+    A bitmap of 64 bits a word is built from the wanted values' hashes and broadcast; it has
+    at most ``words`` rows whatever the input, so a join on the values themselves can follow
+    with few rows left to shuffle. No wanted row is lost.
+    """
+    h = F.xxhash64(wanted.columns[0])
+    bits = wanted.select(F.pmod(h, F.lit(words)).alias("w_"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast(
+        "int").alias("b_")).groupBy("w_").agg(F.bit_or(F.expr("shiftleft(1L, b_)")).alias("bits_"))
+    g = F.xxhash64(column)
+    return rows.withColumn("w_", F.pmod(g, F.lit(words))).join(F.broadcast(bits), "w_").where(
+        F.getbit("bits_", F.pmod(F.shiftrightunsigned(g, 40), F.lit(64)).cast("int")) == 1).drop("w_", "bits_")

@@ -2,8 +2,9 @@
 
 A large-star step links every larger neighbour of a node to the node's smallest neighbour,
 a small-star step does so for the smaller ones. Both are a grouped minimum, which combines
-map-side, and an equi-join on the node, which skew-join handling can split; no neighbour
-list is ever gathered. Edges end as stars around each component's smallest node after a
+map-side, and an equi-join on the node. The minima are written before the join, so that both
+of its sides are plain shuffles, which skew-join handling can split; no neighbour list is
+ever gathered. Edges end as stars around each component's smallest node after a
 number of rounds that grows with the logarithm of the component size.
 """
 
@@ -21,8 +22,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("k"), F.least("m", "u").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(
+        F.col("u").alias("k"), F.least("m", "u").alias("m")), "least")
     joined = both.join(least, both["u"] == least["k"])
     if larger:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -12,7 +12,9 @@ the estimate (4.5 standard deviations below the threshold) with one of about 3e-
 Groups of copies never turn into all pairs. Equal sets collapse into one class first. In a
 bucket every class is compared with the bucket's smallest class only; then components are
 formed, and a second pass compares those classes of a bucket that are still in different
-components. Every candidate pair thus ends either confirmed, refused, or inside one component.
+components, side by side inside tasks: a bucket with many shingles is dealt out as pairs of
+chunks, and a task sends on one root per class, never pairs. Every candidate pair thus ends
+either confirmed, refused, or inside one component.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import group_sizes, likely_in, local_roots, whole_groups, written
 from .components import connected_components
 from .shingles import in_chunks, mix, shingle_sets
 
@@ -33,6 +35,7 @@ BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
 PERCENT = 75
 SIGMAS = 4.5
+BLOCK_SHINGLES = 300_000
 
 _SKETCH = ("doc_id long, n_shingles long, digest binary, class_key long, text_key string, "
            "bands array<long>, planes array<long>")
@@ -136,20 +139,101 @@ def _confirm(percent: int):
     return run
 
 
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``k, text`` for the wanted text keys, written."""
+    wanted = written(keys.distinct(), "wanted")
+    hashed = docs.select(F.md5("text").alias("k"), "text")
+    return written(likely_in(hashed, "k", wanted).join(wanted, "k", "left_semi").groupBy("k").agg(
+        F.first("text").alias("text")), "texts")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` (digests) with their text keys, checked on whole texts."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a_text_key").alias("k")).union(
-        pairs.select(F.col("b_text_key").alias("k"))).distinct()
-    texts = docs.select(F.md5("text").alias("k"), "text").join(wanted, "k", "left_semi").groupBy(
-        "k").agg(F.first("text").alias("text"))
-    texts = written(texts, "texts")
+    texts = _texts(docs, pairs.select(F.col("a_text_key").alias("k")).union(
+        pairs.select(F.col("b_text_key").alias("k"))))
     left = texts.select(F.col("k").alias("a_text_key"), F.col("text").alias("a_text"))
     right = texts.select(F.col("k").alias("b_text_key"), F.col("text").alias("b_text"))
     return pairs.join(left, "a_text_key").join(right, "b_text_key").select(
         "a", "b", "a_text", "b_text").mapInArrow(_confirm(percent), "a binary, b binary")
 
 
+_BLOCK = ["band", "lo", "hi"]
+
+
+def _compare(percent: int):
+    """Links between the classes of each block that are likely and not in one component."""
+    bound, chance = similarity_bound(percent), 2.0 ** -BITS
+
+    def links(rows: pa.Table, first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        part = rows.slice(first, size)
+        planes = np.array(part.column("a_planes").to_pylist(), dtype=np.int64).reshape(size, BITS, -1)
+        n = part.column("a_n").to_numpy()
+        chunk = part.column("chunk").to_numpy()
+        cross = part.column("lo")[0] != part.column("hi")[0]
+        names: dict = {}
+        root = np.array([names.setdefault(r, len(names)) for r in part.column("root").to_pylist()])
+        likely = np.zeros((size, size), dtype=bool)
+        for i in range(size - 1):
+            differ = np.bitwise_or.reduce(planes[i] ^ planes[i + 1:], axis=1)
+            unequal = np.bitwise_count(differ).sum(axis=1)
+            estimate = ((1 - unequal / MINIMA) - chance) / (1 - chance)
+            small, large = np.minimum(n[i], n[i + 1:]), np.maximum(n[i], n[i + 1:])
+            fine = (estimate >= bound) & (100 * small >= percent * large) & (root[i] != root[i + 1:])
+            likely[i, i + 1:] = fine & (chunk[i] != chunk[i + 1:]) if cross else fine
+        some = np.flatnonzero(likely.any(axis=1))
+        none = np.empty(0, dtype=np.int64)
+        if not len(some):
+            return none, none
+        sets: list[np.ndarray] = []
+        for texts in in_chunks(part.column("text").cast(pa.binary()).to_pylist()):
+            sets += shingle_sets(texts)
+        owner = np.repeat(np.arange(size), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        left, right = [none], [none]
+        for i in some.tolist():
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            length = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+            both = np.bincount(owner[at], minlength=size)
+            j = np.flatnonzero(likely[i] & (100 * both >= percent * (n[i] + n - both)))
+            left.append(np.full(len(j), i))
+            right.append(j)
+        return first + np.concatenate(left), first + np.concatenate(right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, _BLOCK):
+            found = [links(rows, f, s) for f, s in zip(*group_sizes(rows, _BLOCK)) if s > 1]
+            if not found:
+                continue
+            i, j = (np.concatenate(x) for x in zip(*found))
+            root = local_roots(rows.num_rows, i, j)
+            digest = rows.column("a").to_pylist()
+            moved = np.flatnonzero(root != np.arange(len(root))).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest[k] for k in moved], pa.binary()),
+                 pa.array([digest[root[k]] for k in moved], pa.binary())], names=["a", "b"])
+    return run
+
+
+def _between_components(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between classes that share a band and are not in one component yet."""
+    split = written(members.groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"),
+        F.ceil(F.sum("a_n") / BLOCK_SHINGLES).cast("int").alias("parts")).where(
+        "low != high and n > 2").select("band", "parts"), "split")
+    rest = written(members.where("class_key != head").join(split, "band").withColumn(
+        "chunk", F.pmod(F.xxhash64("a", F.lit(7)), F.col("parts")).cast("int")), "rest")
+    texts = _texts(docs, rest.select(F.col("a_text_key").alias("k")))
+    blocks = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk",
+        "a", "a_n", "a_planes", "root", F.col("a_text_key").alias("k"))
+    return blocks.join(texts, "k").drop("k").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(
+        _compare(percent), "a binary, b binary")
+
+
 def _side(classes: DataFrame, name: str) -> DataFrame:
     return classes.select(
         F.col("class_key").alias(f"{name}_key"), F.col("digest").alias(name),
@@ -164,8 +248,8 @@ def near_links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
         F.min("text_key").alias("text_key"),
         F.first("bands").alias("bands"), F.first("planes").alias("planes")), "classes")
     bands = classes.select("class_key", F.explode("bands").alias("band"))
-    heads = bands.groupBy("band").agg(
-        F.min("class_key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = written(bands.groupBy("band").agg(
+        F.min("class_key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
     hits = written(bands.join(heads, "band"), "buckets")
 
     stars = hits.where("class_key != head").select(
@@ -179,16 +263,8 @@ def near_links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
         roots, F.col("a") == F.col("node"), "left").select(
         "band", "class_key", "head", "a", "a_n", "a_planes", "a_text_key",
         F.coalesce("root", "a").alias("root"))
-    members = written(members, "members")
-    split = members.groupBy("band").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    rest = members.where("class_key != head").join(split, "band", "left_semi")
-    other = rest.select("band", *[F.col(c).alias(c.replace("a", "b", 1)) for c in (
-        "a", "a_n", "a_planes", "a_text_key")], F.col("root").alias("b_root"))
-    second = rest.join(other, "band").where(
-        (F.col("root") < F.col("b_root")) & _likely(percent)).select(
-        "a", "b", "a_text_key", "b_text_key").distinct()
-    return links.union(written(_confirmed(second, docs, percent), "links"))
+    second = _between_components(written(members, "members"), docs, percent)
+    return links.union(written(second, "links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

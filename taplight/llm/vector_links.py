@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import group_sizes, local_roots, whole_groups, written
 from .components import connected_components
 
 BITS, TABLES, BLOCK, SMALL = 16, 80, 1000, 8
@@ -78,20 +78,6 @@ def _norms(x: np.ndarray) -> np.ndarray:
         return np.where(np.isfinite(top), top * np.sqrt((scaled * scaled).sum(axis=1)), np.nan)
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest row that links reach, for each of n rows."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def _pairs(first: np.ndarray, sizes: np.ndarray, x: list[np.ndarray], chunk: np.ndarray,
            cross: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows i < j of a common group whose cosine is at least ``least``."""
@@ -128,18 +114,12 @@ def _compare(least: float, dtype: str):
         n = rows.num_rows
         col = {c: rows.column(c) for c in names}
         lo, hi = col["lo"].to_numpy(), col["hi"].to_numpy()
-        grp = col["grp"].to_pylist()
-        bucket = col["bucket"].to_numpy()
-        new = np.ones(n, dtype=bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | np.array(
-            [a != b for a, b in zip(grp, grp[1:])], dtype=bool)
-        first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, n))
+        first, sizes = map(np.array, group_sizes(rows, names[:4]))
         x = [np.frombuffer(r, dtype=dtype).astype(np.float64) for r in col["raw"].to_pylist()]
         x = [v / _norms(v[None, :])[0] for v in x]
         i, j = _pairs(first, sizes, x, col["chunk"].to_numpy(), lo != hi, least)
         digest, copies, t = col["digest"].to_pylist(), col["copies"].to_numpy(), col["t"].to_numpy()
-        root = _roots(n, i, j)
+        root = local_roots(n, i, j)
         codes = [np.frombuffer(c, dtype=np.uint16) for c in col["codes"].to_pylist()]
         linked = np.zeros(n, dtype=np.int64)
         for at in range(0, len(i), 20_000):
@@ -154,22 +134,8 @@ def _compare(least: float, dtype: str):
              pa.array([digest[root[k]] for k in out], pa.binary())], names=["digest", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch]).select(names)
-            if rest is not None:
-                rows = pa.concat_tables([rest, rows])
-            if not rows.num_rows:
-                continue
-            last = tuple(rows.column(c)[-1].as_py() for c in names[:4])
-            cut = rows.num_rows
-            while cut and tuple(rows.column(c)[cut - 1].as_py() for c in names[:4]) == last:
-                cut -= 1
-            rest = rows.slice(cut).combine_chunks()
-            if cut:
-                yield judge(rows.slice(0, cut).combine_chunks())
-        if rest is not None and rest.num_rows:
-            yield judge(rest)
+        for rows in whole_groups(batches, names[:4]):
+            yield judge(rows)
     return run
 
 
@@ -198,7 +164,7 @@ def vector_components(vectors: DataFrame, least: float = 0.93, tables: int = TAB
     spread = classes.select("digest", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"),
                             "grp", "codes").select(
         "digest", "t", F.xxhash64("grp", "t", F.substring("codes", 2 * F.col("t") + 1, F.lit(2))).alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = spread.join(shared, "bucket")
     parts = F.ceil(F.col("n") / block).cast("int")
     chunk = F.pmod(F.xxhash64("digest", F.lit(7)), parts).cast("int")
