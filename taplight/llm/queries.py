@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, near_text, secrets, sql, vector_links
+from . import byte_bpe, decontaminate, language, near_text, secret_scan, sql, vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,17 @@ def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_scan(_table(spark, sf_dir, "documents"))
+    return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op2_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan,
+        op2_compression_language_id,
         op4_prefix_decontamination,
         op5_hyperplane_near_dedup,
         op6_minhash_near_dedup,
