@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, near_text, secret_scan, sql, vector_links
+from . import byte_bpe, decontaminate, language, near_text, secret_scan, sharding, sql, vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op2_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan,
@@ -51,8 +55,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_prefix_decontamination,
         op5_hyperplane_near_dedup,
         op6_minhash_near_dedup,
-        op8_byte_bpe)}
+        op8_byte_bpe,
+        op9_extendible_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_prefix_decontamination": sql.DECONTAMINATION}
+    return {
+        "op4_prefix_decontamination": sql.DECONTAMINATION,
+        "op9_extendible_sharding": sql.SHARDING,
+    }

@@ -20,3 +20,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
     coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
     n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+SHARDING = """
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+        ('0x' || substr(md5(coalesce('k' || doc_id::VARCHAR, 'n')), 1, 15))::BIGINT AS word FROM documents),
+l AS (SELECT doc_id, n_bytes, word, d, word >> (60 - d) AS p FROM r, (SELECT unnest(range(0, 61)) AS d)),
+s AS (SELECT d, p, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM l GROUP BY 1, 2),
+f AS (SELECT doc_id, min(d) AS d FROM l JOIN s USING (d, p)
+      WHERE shard_bytes <= 1048576 OR shard_rows = 1 GROUP BY 1)
+SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE right(lpad(bin(p), 64, '0'), d::INT) END AS shard,
+    d::BIGINT AS shard_depth, shard_bytes, shard_rows
+FROM f JOIN l USING (doc_id, d) JOIN s USING (d, p)"""
