@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, near_text, secret_scan, sharding, sql, vector_links
+from . import byte_bpe, decontaminate, language, near_text, secret_scan, sharding, sql, url_lists, vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_lists.filter_captures(url_lists.page_captures(pages), url_lists.derived_entries(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan,
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_prefix_decontamination,
         op5_hyperplane_near_dedup,
         op6_minhash_near_dedup,
+        op7_temporal_url_filter,
         op8_byte_bpe,
         op9_extendible_sharding)}
 
@@ -62,5 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_prefix_decontamination": sql.DECONTAMINATION,
+        "op7_temporal_url_filter": sql.URL_FILTER,
         "op9_extendible_sharding": sql.SHARDING,
     }

@@ -31,3 +31,35 @@ f AS (SELECT doc_id, min(d) AS d FROM l JOIN s USING (d, p)
 SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE right(lpad(bin(p), 64, '0'), d::INT) END AS shard,
     d::BIGINT AS shard_depth, shard_bytes, shard_rows
 FROM f JOIN l USING (doc_id, d) JOIN s USING (d, p)"""
+
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+def _hashed(value: str) -> str:
+    return f"('0x' || substr(md5({value}), 1, 8))::BIGINT"
+
+
+URL_FILTER = f"""
+WITH c AS (SELECT page_id, url, coalesce({_HOST}, '') AS host,
+    list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS steps,
+    1704067200 + {_hashed("page_id::VARCHAR")} % 31104000 AS fetched_at FROM pages),
+k AS (SELECT DISTINCT page_id, fetched_at, key FROM (
+    SELECT page_id, fetched_at, unnest(list_transform(range(1, greatest(1, len(string_split(host, '.')) - 1) + 1),
+        lambda i: 'd:' || array_to_string(string_split(host, '.')[i:], '.'))) AS key FROM c WHERE host <> ''
+    UNION ALL SELECT page_id, fetched_at, unnest(list_transform(range(1, len(steps) + 1),
+        lambda i: 'p:' || host || '/' || array_to_string(steps[1:i], '/'))) FROM c WHERE host <> '')),
+e AS (SELECT key, 'list' || ({_hashed("'l' || key")} % 3) AS list_name, CASE WHEN nth % 2 = 0 THEN 'add' ELSE 'remove'
+        END AS action, 1704067200 + {_hashed("nth::VARCHAR || key")} % 31104000 AS ts
+    FROM (SELECT key, unnest(range(0, {_hashed("'n' || key")} % 4 + 1)) AS nth
+          FROM (SELECT DISTINCT key FROM k) WHERE {_hashed("'q' || key")} % 4 = 0)),
+u AS (SELECT list_name, key, ts, max(action) AS action FROM e GROUP BY ALL),
+g AS (SELECT *, lag(action, 1, 'remove') OVER (PARTITION BY list_name, key ORDER BY ts) AS before FROM u),
+v AS (SELECT *, lead(ts) OVER (PARTITION BY list_name, key ORDER BY ts) AS valid_to FROM g WHERE action <> before),
+m AS (SELECT page_id, count(*) AS n, arg_min({{'k': key, 'l': list_name, 's': ts}},
+        {{'n': -length(key), 'k': key, 'l': list_name, 's': ts}}) AS best
+    FROM k JOIN (SELECT * FROM v WHERE action = 'add') v USING (key)
+    WHERE ts <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY 1)
+SELECT page_id, host, fetched_at, coalesce(n, 0)::BIGINT AS n_active, n IS NOT NULL AS blocked,
+    best.k AS decided_by, best.l AS decided_list, best.s AS listed_since
+FROM c LEFT JOIN m USING (page_id)"""
