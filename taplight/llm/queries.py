@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, near_text, secret_scan, sharding, sql, url_lists, vector_links
+from . import byte_bpe, decontaminate, language, near_text, secret_scan, sharding, sql, url_lists, vector_links, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.filter_captures(url_lists.page_captures(pages), url_lists.derived_entries(pages))
 
 
+def op10_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan,
@@ -62,7 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_minhash_near_dedup,
         op7_temporal_url_filter,
         op8_byte_bpe,
-        op9_extendible_sharding)}
+        op9_extendible_sharding,
+        op10_warc_capture_index)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -70,4 +75,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_prefix_decontamination": sql.DECONTAMINATION,
         "op7_temporal_url_filter": sql.URL_FILTER,
         "op9_extendible_sharding": sql.SHARDING,
+        "op10_warc_capture_index": sql.WARC,
     }

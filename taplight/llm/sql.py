@@ -63,3 +63,9 @@ m AS (SELECT page_id, count(*) AS n, arg_min({{'k': key, 'l': list_name, 's': ts
 SELECT page_id, host, fetched_at, coalesce(n, 0)::BIGINT AS n_active, n IS NOT NULL AS blocked,
     best.k AS decided_by, best.l AS decided_list, best.s AS listed_since
 FROM c LEFT JOIN m USING (page_id)"""
+
+WARC = """
+SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+    CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM (SELECT *, strlen(coalesce(html, '')) >= 100 AND first <> page_id AS again
+      FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))"""
