@@ -143,7 +143,8 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``k, text`` for the wanted text keys, written."""
     wanted = written(keys.distinct(), "wanted")
     hashed = docs.select(F.md5("text").alias("k"), "text")
-    return written(likely_in(hashed, "k", wanted).join(wanted, "k", "left_semi").groupBy("k").agg(
+    # An inner join: the optimizer would move a semi join below the prefilter.
+    return written(likely_in(hashed, "k", wanted).join(wanted, "k").groupBy("k").agg(
         F.first("text").alias("text")), "texts")
 
 
