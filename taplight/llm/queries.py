@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, near_text, secret_scan, sharding, sql, url_lists, vector_links, warc
+from . import byte_bpe, decontaminate, language, near_text, pii, secret_scan, sharding, sql, url_lists, vector_links, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +57,15 @@ def op10_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan,
         op2_compression_language_id,
+        op3_bootstrapped_pii,
         op4_prefix_decontamination,
         op5_hyperplane_near_dedup,
         op6_minhash_near_dedup,
