@@ -102,16 +102,36 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def likely_in(rows: DataFrame, column: str, wanted: DataFrame, words: int = 1 << 18) -> DataFrame:
-    """Rows whose ``column`` may be among the values of ``wanted`` (one column, same type).
+def likely(rows: DataFrame, column: str, wanted: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """``rows`` with a flag ``likely_``: false only where ``column`` is not among the values of
+    ``wanted`` (one column of the same type).
 
-    A bitmap of 64 bits a word is built from the wanted values' hashes and broadcast; it has
-    at most ``words`` rows whatever the input, so a join on the values themselves can follow
-    with few rows left to shuffle. No wanted row is lost.
+    A bitmap of 64 bits a word is built from the wanted values' hashes and broadcast. It has at
+    most ``words`` rows whatever the input. Exact joins can follow with few rows to shuffle.
     """
+    def word(h: Column) -> Column:
+        return F.pmod(h, F.lit(words))
+
+    def bit(h: Column) -> Column:
+        return F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast("int")
+
     h = F.xxhash64(wanted.columns[0])
-    bits = wanted.select(F.pmod(h, F.lit(words)).alias("w_"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast(
-        "int").alias("b_")).groupBy("w_").agg(F.bit_or(F.expr("shiftleft(1L, b_)")).alias("bits_"))
-    g = F.xxhash64(column)
-    return rows.withColumn("w_", F.pmod(g, F.lit(words))).join(F.broadcast(bits), "w_").where(
-        F.getbit("bits_", F.pmod(F.shiftrightunsigned(g, 40), F.lit(64)).cast("int")) == 1).drop("w_", "bits_")
+    bits = wanted.select(word(h).alias("word_"), bit(h).alias("bit_")).groupBy(F.col("word_").alias("w_")).agg(
+        F.bit_or(F.expr("shiftleft(1L, bit_)")).alias("bits_"))
+    own = F.xxhash64(column)
+    return rows.join(F.broadcast(bits), word(own) == F.col("w_"), "left").withColumn(
+        "likely_", F.coalesce(F.getbit("bits_", bit(own)) == 1, F.lit(False))).drop("w_", "bits_")
+
+
+def without_rows(rows: DataFrame, column: str, dropped: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` is not among the values of ``dropped`` (one column).
+
+    Rows that a bitmap rules out pass without a shuffle; only the others are joined.
+    """
+    flagged = likely(rows, column, dropped)
+    name = dropped.columns[0]
+    clear = flagged.where("not likely_").drop("likely_")
+    near = flagged.where("likely_").drop("likely_")
+    # Not an anti join, which the optimizer would move below the bitmap.
+    return clear.union(near.join(dropped.select(F.col(name).alias("dropped_")), F.col(column) == F.col(
+        "dropped_"), "left").where("dropped_ is null").drop("dropped_"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, written
+from .common import ascii_lower, row_key, without_rows, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 100_000
@@ -102,3 +102,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW,
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"), "doc_key")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows that hold an item's window; columns pass through."""
+    key = "decontaminate_key_"
+    found = written(contamination(docs, items, width).where("contaminated").select(
+        "doc_key").distinct(), "contaminated")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.col("text")))
+    return without_rows(keyed, key, found).drop(key)

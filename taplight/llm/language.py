@@ -27,6 +27,7 @@ CHUNK = 4096
 LEVEL = 6
 MARGIN = 0.002
 UNKNOWN = "und"
+FIELDS = ("lang_pred", "score", "margin", "rejected")
 _LEAD = b" " * 48
 _OTHER = regex.compile(r"[^\p{L}]+")
 
@@ -63,7 +64,7 @@ def dictionaries(training: DataFrame, size: int = DICTIONARY_BYTES, rows: int =
     return content
 
 
-def _classify(shipped, margin: float):
+def _classify(shipped, margin: float, at: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = shipped.value
         langs = sorted(content)
@@ -75,7 +76,7 @@ def _classify(shipped, margin: float):
                 level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False))
         for batch in batches:
             pred, score, lead, out = [], [], [], []
-            for value in batch.column(1):
+            for value in batch.column(at):
                 raw = letters(value.as_py())
                 if not packers or not raw:
                     pred.append(UNKNOWN)
@@ -93,26 +94,32 @@ def _classify(shipped, margin: float):
                 score.append(1 / sum(2.0 ** -min(200.0, (s - sizes[best]) / 2) for s in sizes))
                 out.append(ahead < margin)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                [*batch.columns[:width], pa.array(pred, pa.string()), pa.array(score, pa.float64()),
                  pa.array(lead, pa.float64()), pa.array(out, pa.bool_())],
-                names=["key", "lang_pred", "score", "margin", "rejected"])
+                names=[*batch.schema.names[:width], *FIELDS])
     return run
 
 
-def identify(docs: DataFrame, content: dict[str, bytes], key: str = "doc_id", margin: float = MARGIN) -> DataFrame:
-    """``key, lang_pred, score, margin, rejected`` for each row's whole text.
+def identify(docs: DataFrame, content: dict[str, bytes], keep: list[str], margin: float = MARGIN) -> DataFrame:
+    """The columns ``keep`` of each row and a struct ``language_`` for its whole text, with
+    fields ``lang_pred, score, margin, rejected``.
 
     ``lang_pred`` is a language of ``content``, the first by name on equal sizes, or ``und``
     where the text is null or has no letter, or no language was learned. ``score`` is 1 for a
     clear winner and 1/n when n languages tie; ``margin`` is the lead over the runner-up as a
     share of its bytes. ``rejected`` marks ``und`` and narrow margins, ties among them. Rows
-    are independent; other columns are ignored.
+    are independent and pass without a shuffle.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(content)
-    kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(
-        _classify(shipped, margin), f"key {kind}, lang_pred string, score double, margin double, rejected boolean"
-    ).withColumnRenamed("key", key)
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)],
+                       *([] if "text" in keep else [F.col("text").alias("t")]))
+    at = keep.index("text") if "text" in keep else len(keep)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in names),
+                        "lang_pred string, score double, margin double, rejected boolean"])
+    return rows.mapInArrow(_classify(shipped, margin, at, len(keep)), schema).select(
+        *[F.col(n).alias(c) for c, n in zip(keep, names)], F.struct(*FIELDS).alias("language_"))
 
 
 def identify_documents(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -120,5 +127,14 @@ def identify_documents(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     every row: ``doc_id, held_out, lang_pred, score, margin, rejected``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     content = dictionaries(rows.where(~held_out(F.col("doc_id"))))
-    return identify(rows, content, margin=margin).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+    return identify(rows, content, ["doc_id"], margin).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "language_.*")
+
+
+def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """``docs`` without the rows whose language is rejected; a null ``lang`` becomes the
+    predicted one. Learns as ``identify_documents`` does; the other columns pass through."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    content = dictionaries(rows.where(~held_out(F.col("doc_id"))))
+    judged = identify(docs, content, docs.columns, margin).where("not language_.rejected")
+    return judged.withColumn("lang", F.coalesce("lang", "language_.lang_pred")).drop("language_")

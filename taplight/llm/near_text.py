@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_sizes, likely_in, local_roots, whole_groups, written
+from .common import group_sizes, likely, local_roots, row_key, whole_groups, without_rows, written
 from .components import connected_components
 from .shingles import in_chunks, mix, shingle_sets
 
@@ -37,7 +37,7 @@ PERCENT = 75
 SIGMAS = 4.5
 BLOCK_SHINGLES = 300_000
 
-_SKETCH = ("doc_id long, n_shingles long, digest binary, class_key long, text_key string, "
+_SKETCH = ("doc_id long, row_key string, n_shingles long, digest binary, class_key long, "
            "bands array<long>, planes array<long>")
 
 
@@ -65,8 +65,8 @@ def _sketches(sets: list[np.ndarray], factors: np.ndarray) -> tuple[np.ndarray,
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors = np.random.default_rng(11).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
-        ids, at = batch.column(0), 0
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        at = 0
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
         for chunk in in_chunks(texts):
             sets = shingle_sets(chunk)
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -78,20 +78,23 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     bands[i], planes[i] = keys[j], bits[j]
             digests = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
-                ids.slice(at, len(chunk)),
+                batch.column(0).slice(at, len(chunk)), batch.column(1).slice(at, len(chunk)),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array([int.from_bytes(d[:8], "big", signed=True) if d else None for d in digests], pa.int64()),
-                pa.array([hashlib.md5(t).hexdigest() if t is not None else None for t in chunk], pa.string()),
                 pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "class_key", "text_key", "bands", "planes"])
+                names=["doc_id", "row_key", "n_shingles", "digest", "class_key", "bands", "planes"])
             at += len(chunk)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """Set size, set digest and MinHash sketch of each row's text; null parts for empty sets."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sketch_batches, _SKETCH)
+    return _keyed(docs).mapInArrow(_sketch_batches, _SKETCH)
 
 
 def similarity_bound(percent: int = PERCENT) -> float:
@@ -140,22 +143,22 @@ def _confirm(percent: int):
 
 
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``k, text`` for the wanted text keys, written."""
+    """``k, text`` for the wanted row keys, written."""
     wanted = written(keys.distinct(), "wanted")
-    hashed = docs.select(F.md5("text").alias("k"), "text")
+    hashed = _keyed(docs).select(F.col("row_key").alias("k"), "text").where("text is not null")
     # An inner join: the optimizer would move a semi join below the prefilter.
-    return written(likely_in(hashed, "k", wanted).join(wanted, "k").groupBy("k").agg(
+    return written(likely(hashed, "k", wanted).where("likely_").drop("likely_").join(wanted, "k").groupBy("k").agg(
         F.first("text").alias("text")), "texts")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` (digests) with their text keys, checked on whole texts."""
     pairs = written(pairs, "pairs")
-    texts = _texts(docs, pairs.select(F.col("a_text_key").alias("k")).union(
-        pairs.select(F.col("b_text_key").alias("k"))))
-    left = texts.select(F.col("k").alias("a_text_key"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("k").alias("b_text_key"), F.col("text").alias("b_text"))
-    return pairs.join(left, "a_text_key").join(right, "b_text_key").select(
+    texts = _texts(docs, pairs.select(F.col("a_row_key").alias("k")).union(
+        pairs.select(F.col("b_row_key").alias("k"))))
+    left = texts.select(F.col("k").alias("a_row_key"), F.col("text").alias("a_text"))
+    right = texts.select(F.col("k").alias("b_row_key"), F.col("text").alias("b_text"))
+    return pairs.join(left, "a_row_key").join(right, "b_row_key").select(
         "a", "b", "a_text", "b_text").mapInArrow(_confirm(percent), "a binary, b binary")
 
 
@@ -227,10 +230,10 @@ def _between_components(members: DataFrame, docs: DataFrame, percent: int) -> Da
         "low != high and n > 2").select("band", "parts"), "split")
     rest = written(members.where("class_key != head").join(split, "band").withColumn(
         "chunk", F.pmod(F.xxhash64("a", F.lit(7)), F.col("parts")).cast("int")), "rest")
-    texts = _texts(docs, rest.select(F.col("a_text_key").alias("k")))
+    texts = _texts(docs, rest.select(F.col("a_row_key").alias("k")))
     blocks = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk",
-        "a", "a_n", "a_planes", "root", F.col("a_text_key").alias("k"))
+        "a", "a_n", "a_planes", "root", F.col("a_row_key").alias("k"))
     return blocks.join(texts, "k").drop("k").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(
         _compare(percent), "a binary, b binary")
 
@@ -239,14 +242,14 @@ def _side(classes: DataFrame, name: str) -> DataFrame:
     return classes.select(
         F.col("class_key").alias(f"{name}_key"), F.col("digest").alias(name),
         F.col("n_shingles").alias(f"{name}_n"), F.col("planes").alias(f"{name}_planes"),
-        F.col("text_key").alias(f"{name}_text_key"))
+        F.col("row_key").alias(f"{name}_row_key"))
 
 
 def near_links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links ``a, b`` between set digests; they join all that is similar."""
     classes = written(sketches.where("digest is not null").groupBy("digest").agg(
         F.first("class_key").alias("class_key"), F.first("n_shingles").alias("n_shingles"),
-        F.min("text_key").alias("text_key"),
+        F.min("row_key").alias("row_key"),
         F.first("bands").alias("bands"), F.first("planes").alias("planes")), "classes")
     bands = classes.select("class_key", F.explode("bands").alias("band"))
     heads = written(bands.groupBy("band").agg(
@@ -256,18 +259,27 @@ def near_links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
     stars = hits.where("class_key != head").select(
         F.col("class_key").alias("a_key"), F.col("head").alias("b_key")).distinct()
     first = stars.join(_side(classes, "a"), "a_key").join(_side(classes, "b"), "b_key").where(
-        _likely(percent)).select("a", "b", "a_text_key", "b_text_key")
+        _likely(percent)).select("a", "b", "a_row_key", "b_row_key")
     links = written(_confirmed(first, docs, percent), "links")
 
     roots = connected_components(links, "a", "b")
     members = hits.join(_side(classes, "a").withColumnRenamed("a_key", "class_key"), "class_key").join(
         roots, F.col("a") == F.col("node"), "left").select(
-        "band", "class_key", "head", "a", "a_n", "a_planes", "a_text_key",
+        "band", "class_key", "head", "a", "a_n", "a_planes", "a_row_key",
         F.coalesce("root", "a").alias("root"))
     second = _between_components(written(members, "members"), docs, percent)
     return links.union(written(second, "links"))
 
 
+def _rooted(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, row_key, n_shingles, root`` per row; a null root for empty sets."""
+    sketches = written(sketch(docs), "sketches")
+    roots = connected_components(near_links(docs, sketches, percent), "a", "b")
+    return written(sketches.select("doc_id", "row_key", "n_shingles", "digest").join(
+        roots, F.col("digest") == F.col("node"), "left").select(
+        "doc_id", "row_key", "n_shingles", F.coalesce("root", "digest").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
@@ -278,14 +290,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     only if its component has no id at all (component_id null). Other columns are ignored; an
     empty table gives no rows.
     """
-    sketches = written(sketch(docs), "sketches")
-    roots = connected_components(near_links(docs, sketches, percent), "a", "b")
-    rows = sketches.select("doc_id", "n_shingles", "digest").join(
-        roots, F.col("digest") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "digest").alias("root"))
-    rows = written(rows, "rooted")
+    rows = _rooted(docs, percent)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r"), "left")
+    joined = rows.join(written(least.withColumnRenamed("root", "r"), "least"), F.col("root") == F.col("r"), "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the smallest doc_id, null last.
+
+    Of rows equal in id and text one stays. Rows without words stay as they are. Columns pass
+    through. Only rows that a bitmap does not rule out as dropped or repeated are shuffled.
+    """
+    key = "near_row_key_"
+    rows = _rooted(docs, percent).where("root is not null").groupBy("root", "row_key").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = written(rows, "rows")
+    best = written(rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).getField("row_key").alias("best")), "best")
+    judged = written(rows.join(best, F.col("root") == F.col("r")).select(
+        "row_key", "n", (F.col("row_key") == F.col("best")).alias("stays")), "judged")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    lost = judged.where("not stays").select("row_key")
+    repeated = judged.where("stays and n > 1").select("row_key")
+    left = likely(without_rows(keyed, key, lost), key, repeated)
+    once = left.where("likely_").join(repeated, F.col(key) == F.col("row_key"), "left")
+    return left.where("not likely_").drop("likely_", key).union(
+        once.where("row_key is null").drop("likely_", key, "row_key")).union(
+        once.where("row_key is not null").dropDuplicates([key]).drop("likely_", key, "row_key"))

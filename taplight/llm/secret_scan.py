@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import likely, row_key, written
 
 ALPHA = 0.05
 #: Pattern, a cheap test that every match passes, and the least length of group 2 or the match.
@@ -193,7 +193,11 @@ def secret_scan(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "<SECRET>", alpha: float = ALPHA) -> DataFrame:
-    """``docs`` with every secret span of ``text`` replaced by ``mark``; other rows and columns stay."""
+    """``docs`` with every secret span of ``text`` replaced by ``mark``; other rows and columns stay.
+
+    Spans that overlap or touch are replaced as one. Rows that a bitmap rules out pass without
+    a shuffle.
+    """
     key = "redact_key_"
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
     spans = secret_spans(keyed.where("text is not null").select(F.col(key).alias("doc_key"), "text"), alpha)
@@ -208,5 +212,8 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", alpha: float = ALPHA) -> Dat
         (F.when(i < F.size("cuts_"), F.get("cuts_", i)["start"]).otherwise(F.char_length("text"))
          - F.when(i == 0, 0).otherwise(F.col("cuts_")[i - 1]["stop"])).cast("int")))
     text = F.when(F.col("cuts_").isNull(), F.col("text")).otherwise(F.array_join(kept, mark))
-    joined = keyed.join(merged, F.col(key) == F.col("cut_key_"), "left")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    merged = written(merged, "cuts")
+    near = likely(keyed, key, merged.select("cut_key_"))
+    changed = near.where("likely_").join(merged, F.col(key) == F.col("cut_key_"), "left").select(
+        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return near.where("not likely_").select(*docs.columns).union(changed)
