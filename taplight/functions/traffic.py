@@ -141,7 +141,9 @@ def scan_features(flows: DataFrame) -> DataFrame:
     ports = F.size(F.array_distinct(F.coalesce(F.col("dst_ports"),
                                                F.array().cast("array<int>"))))
     kind = scan_type(F.col("unique_dst_ports"), F.col("unique_dst_hosts"))
-    return flows.withColumn("unique_dst_ports", ports).join(hosts, "src_ip").withColumns({
+    counted = flows.withColumn("unique_dst_ports", ports)
+    hosts = hosts.withColumnRenamed("src_ip", "_src")
+    return counted.join(hosts, F.col("src_ip").eqNullSafe(F.col("_src"))).drop("_src").withColumns({
         "scan_type": kind,
         "is_horizontal_scan": kind == "horizontal",
         "is_vertical_scan": kind == "vertical",
@@ -155,7 +157,7 @@ def tcp_flags_decode(bits: Column, letters: bool = False) -> Column:
     """Flag names of a bit mask as an array, or the letter string."""
     table = S.TCP_FLAG_LETTERS if letters else S.TCP_FLAG_NAMES
     names = F.array_compact(F.array(*[
-        F.when(bits.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for name, bit in table]))
+        F.when(bits.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in table]))
     return F.array_join(names, "") if letters else names
 
 
@@ -163,7 +165,7 @@ def tcp_flags_encode(names: Column) -> Column:
     """Bit mask of an array of flag names or letters; unknown names add nothing."""
     upper = F.transform(names, lambda x: F.upper(x))
     bits = F.lit(0)
-    for name, bit in S.TCP_FLAG_NAMES:
+    for bit, name in S.TCP_FLAG_NAMES:
         hit = F.array_contains(upper, name)
         if name != "URG":
             hit = hit | F.array_contains(upper, name[0])

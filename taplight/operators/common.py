@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTITY = ("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
@@ -16,6 +19,25 @@ def evidence(name: str, value: Column, contribution: float | Column,
                     share.alias("contribution"), description.alias("description"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                   how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key equals a null key, so no row is lost to one."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
+COPY = "_copy"
+
+
+def with_copy_number(records: DataFrame) -> DataFrame:
+    """Number the rows that share a flow id and start time, so that verdicts join back to
+    one row each. Rows equal in all columns are interchangeable."""
+    values = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in records.dtypes]
+    return records.withColumn(COPY, F.row_number().over(
+        Window.partitionBy("flow_id", "start_time").orderBy(F.xxhash64(*values))))
+
+
 def text(pattern: str, *values: Column) -> Column:
     return F.format_string(pattern, *values)
 

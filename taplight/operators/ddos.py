@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from .. import settings as S
 from ..session import cut_lineage
-from .common import detections, evidence, text, with_rates
+from .common import (COPY, detections, evidence, join_null_safe, text, with_copy_number,
+                     with_rates)
 from .ordered import CHUNK, HOME, bucketed, chunked, sorted_scan
 
 
@@ -51,6 +52,7 @@ def ddos_amplifier_rule(flows: DataFrame) -> DataFrame:
 
 _ENTROPY = T.StructType([T.StructField("flow_id", T.StringType()),
                          T.StructField("start_time", T.DoubleType()),
+                         T.StructField(COPY, T.IntegerType()),
                          T.StructField("src_ip_entropy", T.DoubleType())])
 
 
@@ -60,10 +62,10 @@ def _entropy_scan(window: float, cap: int):
     def scan(batches):
         key, recent, counts, mass = None, deque(), {}, 0.0
         for pdf in batches:
-            ids, times, values = [], [], []
-            for dst, chunk, ts, src, flow, wanted in zip(
+            ids, times, copies, values = [], [], [], []
+            for dst, chunk, ts, src, flow, copy, wanted in zip(
                     pdf["dst_ip"], pdf[CHUNK], pdf["start_time"], pdf["src_ip"],
-                    pdf["flow_id"], pdf["_wanted"]):
+                    pdf["flow_id"], pdf[COPY], pdf["_wanted"]):
                 if (dst, chunk) != key:
                     key, recent, counts, mass = (dst, chunk), deque(), {}, 0.0
                 recent.append((ts, src))
@@ -86,8 +88,10 @@ def _entropy_scan(window: float, cap: int):
                         entropy = (math.log2(n) - mass / n) / math.log2(len(counts))
                     ids.append(flow)
                     times.append(ts)
+                    copies.append(copy)
                     values.append(entropy)
-            yield pd.DataFrame({"flow_id": ids, "start_time": times, "src_ip_entropy": values})
+            yield pd.DataFrame({"flow_id": ids, "start_time": times, COPY: copies,
+                                "src_ip_entropy": values})
 
     return scan
 
@@ -102,12 +106,18 @@ def source_ip_entropy(flows: DataFrame, wanted: Column | None = None,
     is cut into chunks with their lead-in, so it spreads over tasks; each chunk is streamed
     with sliding counts. ``wanted`` limits which rows get an answer, not what they see.
     """
-    rows = flows.select("dst_ip", "start_time", "flow_id", "src_ip",
+    return _entropies(with_copy_number(flows), wanted, window, cap, bucket_seconds).drop(COPY)
+
+
+def _entropies(flows: DataFrame, wanted: Column | None = None,
+               window: float = S.ENTROPY_WINDOW_SECONDS, cap: int = S.ENTROPY_WINDOW_ROWS,
+               bucket_seconds: float = 60.0) -> DataFrame:
+    rows = flows.select("dst_ip", "start_time", "flow_id", COPY, "src_ip",
                         (F.lit(True) if wanted is None else wanted).alias("_wanted"))
     placed = chunked(bucketed(rows, F.col("start_time"), bucket_seconds), ["dst_ip"],
-                     ["start_time", "flow_id"], cap - 1)
+                     ["start_time", "flow_id", COPY], cap - 1)
     asked = placed.withColumn("_wanted", F.col("_wanted") & F.col(HOME)).drop(HOME)
-    return sorted_scan(asked, ["dst_ip", CHUNK], ["start_time", "flow_id"],
+    return sorted_scan(asked, ["dst_ip", CHUNK], ["start_time", "flow_id", COPY],
                        _entropy_scan(window, cap), _ENTROPY)
 
 
@@ -116,14 +126,15 @@ def ddos_detect(flows: DataFrame) -> DataFrame:
 
     Only destinations with a firing flow enter the entropy pass.
     """
-    rated = with_rates(flows).withColumn("_rate", F.coalesce(_rate_hit(), F.lit(False))) \
+    rated = with_rates(with_copy_number(flows)).withColumn("_rate", F.coalesce(_rate_hit(), F.lit(False))) \
                              .withColumn("_amp", F.coalesce(_amplifier_hit(), F.lit(False)))
     fires = F.col("_rate") | F.col("_amp")
     hit = rated.where(fires)
-    context = rated.select("dst_ip", "start_time", "flow_id", "src_ip", fires.alias("_fires")) \
-                   .join(hit.select("dst_ip").distinct(), "dst_ip", "left_semi")
-    entropy = source_ip_entropy(cut_lineage(context), F.col("_fires"))
-    scored = hit.join(entropy, ["flow_id", "start_time"])
+    context = join_null_safe(
+        rated.select("dst_ip", "start_time", "flow_id", COPY, "src_ip", fires.alias("_fires")),
+        hit.select("dst_ip").distinct(), ["dst_ip"], "left_semi")
+    entropy = _entropies(cut_lineage(context), F.col("_fires"))
+    scored = join_null_safe(hit, entropy, ["flow_id", "start_time", COPY])
     rate, size, h = F.col("pkt_rate"), F.col("avg_pkt"), F.col("src_ip_entropy")
     conf = F.when(F.col("_rate"), rate_confidence(rate, S.RATE_THRESHOLD)) \
             .otherwise(rate_confidence(rate, S.AMPLIFIER_RATE_THRESHOLD))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions import flow_duration, flow_key
+from .common import join_null_safe
 from .ordered import BUCKET, anchored_groups, bucketed, with_carry
 
 FIVE_TUPLE = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
@@ -23,10 +24,15 @@ def _last_non_empty(value: str, *order: str) -> Column:
 
 
 def _counters(packets: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact counters, sets and last-seen fields per key; all of it combines map-side."""
+    """Exact counters, sets and last-seen fields per key; all of it combines map-side.
+
+    The key decides which packets belong together; the record shows its first packet's
+    5-tuple, so spellings that share a key don't split it.
+    """
     at = ("ts", "packet_id")
     has_name = F.coalesce(F.col("dns_query"), F.lit("")) != ""
     flows = packets.groupBy(*keys).agg(
+        F.min_by(F.struct(*FIVE_TUPLE), F.struct(*at)).alias("_tuple"),
         F.count(F.lit(1)).alias("packet_count"),
         F.sum("packet_size").cast("bigint").alias("bytes_transferred"),
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
@@ -38,6 +44,7 @@ def _counters(packets: DataFrame, keys: list[str]) -> DataFrame:
                    F.lit(0)).alias("dns_qtype"),
         F.max_by("tls_counts", F.when(F.size("tls_counts") > 0, F.struct(*at)))
          .alias("tls_counts"))
+    flows = flows.select(*keys, "_tuple.*", *[c for c in flows.columns if c not in (*keys, "_tuple")])
     return flows.withColumn("duration_seconds", flow_duration(
         F.col("packet_count"), F.col("start_time"), F.col("end_time")))
 
@@ -67,12 +74,12 @@ def build_flows(packets: DataFrame, bucket_seconds: float = 60.0) -> DataFrame:
         Window.partitionBy("flow_id", BUCKET).orderBy("ts", "packet_id"))
     heads = early.withColumn("_n", place).where(F.col("_n") <= S.SERIES_CAP) \
                  .where(before + F.col("_n") <= S.SERIES_CAP)
-    return _counters(keyed, ["flow_id", *FIVE_TUPLE]).join(_series(heads, ["flow_id"]), "flow_id")
+    return _counters(keyed, ["flow_id"]).join(_series(heads, ["flow_id"]), "flow_id")
 
 
 def is_closing(flags: Column, protocol: Column) -> Column:
     text = F.coalesce(flags, F.lit(""))
-    return (protocol == "tcp") & (text.contains("F") | text.contains("R"))
+    return (F.lower(protocol) == "tcp") & (text.contains("F") | text.contains("R"))
 
 
 def export_flows(packets: DataFrame, idle: float = S.FLOW_IDLE_SECONDS,
@@ -89,7 +96,7 @@ def export_flows(packets: DataFrame, idle: float = S.FLOW_IDLE_SECONDS,
     place = F.row_number().over(Window.partitionBy(*record).orderBy("ts", "packet_id"))
     heads = cut.select(*record, "ts", "packet_id", "packet_size") \
                .withColumn("_n", place).where(F.col("_n") <= S.SERIES_CAP)
-    return _counters(cut, [*record, *FIVE_TUPLE]).join(_series(heads, record), record) \
+    return join_null_safe(_counters(cut, record), _series(heads, record), record) \
         .drop("_cut", "_cut_run")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from . import beacon, ddos, dns, exfil, scan, slow_rate
+from .common import join_null_safe
 from .ordered import anchored_groups
 
 # Rank of a detector when one flow raises the same class twice.
@@ -168,7 +169,7 @@ def _merge_groups(rows: DataFrame, group: Sequence[str], order: Sequence[str],
         .groupBy(*group).agg(F.transform(F.array_sort(F.collect_list("_x")),
                                          lambda x: x["_e"]).alias("evidence"))
     scored = severity_scorer(F.col("confidence"), F.col("threat_class"))
-    return heads.join(named, list(group), "left").select(
+    return join_null_safe(heads, named, group, "left").select(
         *group, "_head.*", "confidence", "n_detections", "evidence",
         F.when(F.col("_rows") > 1, scored).otherwise(F.col("_severity")).alias("severity"))
 
@@ -249,7 +250,7 @@ def validate_alerts(alerts: DataFrame) -> DataFrame:
 
 def active_alerts(alerts: DataFrame, max_history: int = 10_000) -> DataFrame:
     """The newest alerts a bounded active set would hold."""
-    return alerts.orderBy(F.desc("ts"), F.desc("alert_id")).limit(max(1000, max_history))
+    return alerts.orderBy(F.desc("ts"), F.desc("alert_id")).limit(max_history)
 
 
 def threat_counts(alerts: DataFrame, count: str | None = None) -> DataFrame:

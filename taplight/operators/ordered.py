@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .common import join_null_safe
 
-BUCKET = "_bucket"      # key columns must not be null: carries are joined on them
+BUCKET = "_bucket"
 
 _CARRY: Mapping[str, Callable[[str], Column]] = {
     "sum": F.sum, "min": F.min, "max": F.max,
@@ -39,7 +40,7 @@ def with_carry(df: DataFrame, keys: Sequence[str],
         Window.unboundedPreceding, -1)
     offsets = summary.select(*keys, BUCKET, *[
         _CARRY[how](name).over(before).alias(name) for name, (_, how) in carries.items()])
-    return df.join(offsets, [*keys, BUCKET])
+    return join_null_safe(df, offsets, [*keys, BUCKET])
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -143,7 +144,7 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     offsets = placed.select(
         *keys, BUCKET, head.alias("_head"), F.last(opened, ignorenulls=True).over(
             scan.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    joined = linked.join(offsets, [*keys, BUCKET])
+    joined = join_null_safe(linked, offsets, [*keys, BUCKET])
     is_open = F.when(F.col("_before").isNull(), F.col("_head")).otherwise(inner)
     latest = F.max(F.when(is_open, at)).over(
         local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -160,19 +161,23 @@ def anchored_groups(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
     A group opens at its first row and takes rows less than ``width`` after that row, so
     its start never slides. Rows ``idle`` or more after the one before, and the row after
     one that ``closes``, always open a new group. These certain openings cut a key into
-    runs; only inside a run does one group's start depend on the group before.
+    runs; only inside a run does one group's start depend on the group before. Null keys are
+    keys like any other; rows without a time form one group of their key, with a null start.
 
     Runs shorter than ``width`` are one group. In longer ones the distinct times are
     folded per run while they number at most ``span_limit``; larger runs are resolved by
     pointer doubling, so that no group is ever gathered in one place.
     """
     gap = width if idle is None else min(idle, width)
+    # One column that is never null stands for the key in all joins below.
+    key = F.sha2(F.to_json(F.struct(*keys)), 256)
     rows = df.withColumn("_closes", F.lit(False) if closes is None
-                         else F.coalesce(closes, F.lit(False)))
+                         else F.coalesce(closes, F.lit(False))).withColumn("_key", key)
+    timeless = rows.where(F.col(ts).isNull())
     named = cut_lineage(runs(
-        bucketed(rows, F.col(ts), bucket_seconds), keys, order,
+        bucketed(rows.where(F.col(ts).isNotNull()), F.col(ts), bucket_seconds), ["_key"], order,
         lambda prev: prev["_closes"] | (F.col(ts) >= prev[ts] + gap), ["_closes"]))
-    run = [*keys, "_run"]
+    run = ["_key", "_run"]
     spans = named.groupBy(*run).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"),
                                     F.count(F.lit(1)).alias("_n"))
     long_runs = spans.where(F.col("_hi") >= F.col("_lo") + width)
@@ -193,11 +198,12 @@ def anchored_groups(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
         *run, "_start", "_stop", F.explode(F.sequence(
             F.floor(F.col("_start") / width),
             F.floor(F.least("_stop", "_hi") / width))).alias("_cell"))
-    return named.withColumn("_cell", F.floor(F.col(ts) / width)) \
+    placed = named.withColumn("_cell", F.floor(F.col(ts) / width)) \
         .join(cells, [*run, "_cell"]) \
         .where((F.col(ts) >= F.col("_start")) & (F.col(ts) < F.col("_stop"))) \
         .withColumnsRenamed({"_start": name, "_run": f"{name}_run"}) \
-        .drop("_stop", "_cell", "_closes")
+        .drop("_stop", "_cell")
+    return placed.unionByName(timeless, allowMissingColumns=True).drop("_closes", "_key")
 
 
 def _fold_starts(points: DataFrame, run: Sequence[str], width: float) -> DataFrame:
