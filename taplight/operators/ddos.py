@@ -138,18 +138,18 @@ def ddos_detect(flows: DataFrame) -> DataFrame:
     rate, size, h = F.col("pkt_rate"), F.col("avg_pkt"), F.col("src_ip_entropy")
     conf = F.when(F.col("_rate"), rate_confidence(rate, S.RATE_THRESHOLD)) \
             .otherwise(rate_confidence(rate, S.AMPLIFIER_RATE_THRESHOLD))
-    entropy_text = text("Source-IP entropy toward this destination: %.2f", h)
+    entropy_text = text(S.EVIDENCE_TEXT["ddos: source ip entropy toward"], h)
     flood = F.array(
         evidence("packet_rate", F.round(rate, 2), 0.55,
-                 text("Sustained one-way packet rate %.1f pps (threshold 111 pps)", rate)),
+                 text(S.EVIDENCE_TEXT["ddos: sustained one way packet"], rate)),
         evidence("byte_rate", F.round("byte_rate", 2), 0.20,
-                 text("Byte rate %.1f B/s", F.col("byte_rate"))),
+                 text(S.EVIDENCE_TEXT["ddos: byte rate b s"], F.col("byte_rate"))),
         evidence("avg_packet_size", F.round(size, 1), 0.10,
-                 text("Average packet size %.0f B (small, flood-shaped)", size)),
+                 text(S.EVIDENCE_TEXT["ddos: average packet size b"], size)),
         evidence("src_ip_entropy", F.round(h, 3), 0.15, entropy_text))
     amplifier = F.array(
         evidence("packet_rate", F.round(rate, 2), 0.6,
-                 text("Request rate to amplifier port %d: %.1f req/s", F.col("dst_port"), rate)),
+                 text(S.EVIDENCE_TEXT["ddos: request rate to amplifier"], F.col("dst_port"), rate)),
         evidence("src_ip_entropy", F.round(h, 3), 0.4, entropy_text))
     return detections(
         scored.withColumn("_conf", conf), "ddos", "ddos",
@@ -164,24 +164,25 @@ def ddos_calibration(scores: DataFrame, score: str = "score") -> DataFrame:
                       F.count(F.lit(1)).alias("n")).where(F.col("n") >= 5)
 
 
-def ddos_forest_detect(scored: DataFrame, score_lo: float, score_hi: float) -> DataFrame:
+def ddos_forest_detect(scored: DataFrame, calibration: DataFrame) -> DataFrame:
     """Flows the rules left alone that score below every benign reference flow.
 
-    ``scored`` carries the rates and a ``score`` column (see the forest in ``models``).
+    ``scored`` has a ``score`` column (see the forest in ``models``), ``calibration`` the one
+    row of ``ddos_calibration``, or none, and then nothing is found.
     """
-    rated = with_rates(scored)
+    rated = with_rates(scored).join(F.broadcast(calibration.select("score_lo", "score_hi")))
     quiet = ~F.coalesce(_rate_hit() | _amplifier_hit(), F.lit(False))
     anomalous = rated.where(quiet & (F.col("pkt_rate") >= S.FOREST_MIN_RATE)
-                            & (F.col("score") < score_lo))
-    span = max(score_hi - score_lo, 1e-6)
-    conf = F.round(0.5 + 0.5 * F.least(F.lit(1.0), (F.lit(score_lo) - F.col("score")) / span), 4)
+                            & (F.col("score") < F.col("score_lo")))
+    span = F.greatest(F.col("score_hi") - F.col("score_lo"), F.lit(1e-6))
+    conf = F.round(0.5 + 0.5 * F.least(F.lit(1.0), (F.col("score_lo") - F.col("score")) / span), 4)
     items = F.array(
         evidence("packet_rate", F.round("pkt_rate", 2), 0.4,
-                 text("Anomalous packet rate: %.1f pps", F.col("pkt_rate"))),
+                 text(S.EVIDENCE_TEXT["ddos: anomalous packet rate pps"], F.col("pkt_rate"))),
         evidence("byte_rate", F.round("byte_rate", 2), 0.4,
-                 text("Anomalous byte rate: %.1f B/s", F.col("byte_rate"))),
+                 text(S.EVIDENCE_TEXT["ddos: anomalous byte rate b"], F.col("byte_rate"))),
         evidence("isolation_forest_score", F.round("score", 4), 0.2,
-                 F.lit("Isolation forest score (negative is anomalous)")))
+                 F.lit(S.EVIDENCE_TEXT["ddos: isolation forest score negative"])))
     return detections(anomalous.withColumn("_conf", conf), "ddos", "ddos",
                       F.when(F.col("_conf") > 0.75, "high").otherwise("medium"),
                       F.col("_conf"), items, "isolation_forest_v2")

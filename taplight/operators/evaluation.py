@@ -245,7 +245,7 @@ def packet_loss_resample(flows: DataFrame, levels: Sequence[float] = LOSS_LEVELS
     """Flows as a lossy tap would have seen them, one copy per loss level and trial.
 
     Every packet survives with probability 1 - p by a repeatable draw; at least one always
-    does. Counters scale with the surviving share and times follow the survivors.
+    does. Counters scale with the surviving share; times and sizes follow the survivors.
     """
     copies = flows.withColumn("loss", F.explode(F.array(*[F.lit(float(p)) for p in levels]))) \
                   .withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
@@ -266,10 +266,14 @@ def packet_loss_resample(flows: DataFrame, levels: Sequence[float] = LOSS_LEVELS
     lossy = F.col("loss") > 0
     series = F.when(F.col("_kept").isNotNull(), F.transform(
         "_kept", lambda i: F.get("timestamps", i))).otherwise(F.col("timestamps"))
+    sizes = {} if "packet_sizes" not in flows.columns else {"packet_sizes": F.when(
+        F.col("_kept").isNotNull() & (F.size("packet_sizes") > 0), F.transform(F.filter(
+            "_kept", lambda i: i < F.size("packet_sizes")), lambda i: F.get("packet_sizes", i)))
+        .otherwise(F.col("packet_sizes"))}
     scaled = {c: F.bround(F.col(c) * F.col("_share")).cast("bigint")
               for c in ("packet_count", "bytes_transferred")}
     out = sized.withColumns({
-        "timestamps": series,
+        "timestamps": series, **sizes,
         "packet_count": F.when(lossy, F.greatest(F.lit(1), scaled["packet_count"]))
                          .otherwise(F.col("packet_count")),
         "bytes_transferred": F.when(lossy, scaled["bytes_transferred"])

@@ -152,11 +152,12 @@ def _(v):
 @query("evaluation_rollup", """WITH a AS (SELECT lang AS artifact, count(*) AS n FROM documents GROUP BY 1)
   SELECT w AS artifact, CASE WHEN n IS NULL THEN 'unavailable' ELSE 'available' END AS status,
     CASE WHEN n IS NOT NULL THEN '{"rows":"' || CAST(n AS VARCHAR) || '"}' END AS metrics
-  FROM (VALUES ('en'), ('fr'), ('missing')) t(w) LEFT JOIN a ON w = artifact""")
+  FROM (SELECT artifact FROM a UNION SELECT 'missing') t(w) LEFT JOIN a ON w = artifact""")
 def _(v):
     found = v.table("documents").groupBy(F.col("lang").alias("artifact")).agg(
         F.count(F.lit(1)).cast("string").alias("value")).withColumn("metric", F.lit("rows"))
-    return E.evaluation_rollup(found, ["en", "fr", "missing"]).drop("fingerprint")
+    wanted = [r["artifact"] for r in found.select("artifact").distinct().collect()]
+    return E.evaluation_rollup(found, [*wanted, "missing"]).drop("fingerprint")
 
 
 @query("threshold_eval", """WITH r AS (SELECT list_stddev_samp(gaps)/list_avg(gaps) < 0.1 AS hit,
@@ -274,8 +275,8 @@ def _(v):
 @query("ddos_isolation_forest")
 def _(v):
     rated, reference, forest = _forest(v)
-    low = ddos.ddos_calibration(forest.transform(reference)).first()
-    return ddos.ddos_forest_detect(forest.transform(rated), low["score_lo"], low["score_hi"]) \
+    known = ddos.ddos_calibration(forest.transform(reference))
+    return ddos.ddos_forest_detect(forest.transform(rated), known) \
         .select("flow_id", "threat_class", "severity", "confidence")
 
 

@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import telemetry as W
+from ..session import scratch_folder
 from ..sources import alert_store, export_datagrams as D, flow_files, reference_lists as RL
 from .registry import query
 from .views import BASE
 
 
-@query("read_flow_table", "SELECT event_id, user_id FROM events")
+@query("read_flow_table", "SELECT flow_id, src_ip, start_time, packet_count FROM flows_v", ["flows_v"])
 def _(v):
-    return flow_files.read_flow_table(v.spark, f"{v.dir}/events.parquet").select(
-        "event_id", "user_id")
+    path = scratch_folder(v.spark, "flows")
+    v.flows.select("flow_id", "src_ip", "start_time", "packet_count").write.parquet(path)
+    return flow_files.read_flow_table(v.spark, path)
 
 
-@query("read_flow_json", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k
-    FROM events""")
+@query("read_flow_json", """SELECT flow_id, start_time, packet_count, bytes_transferred, protocol
+    FROM flows_v""", ["flows_v"])
 def _(v):
-    # The file reader is exercised in the tests; here its value parsing runs over a table.
-    raw = F.from_json("props", "map<string,string>")
-    numbers = F.transform_values(raw, lambda k, x: x.try_cast("double"))
-    return v.table("events").select("event_id", F.try_element_at(numbers, F.lit("k")).alias("k"))
+    path = scratch_folder(v.spark, "flow-json")
+    v.flows.select("flow_id", "start_time", "packet_count", "bytes_transferred", "protocol").write.json(path)
+    return flow_files.read_flow_json(v.spark, path, multi_line=False).select(
+        "flow_id", "start_time", "packet_count", "bytes_transferred", "protocol")
 
 
 _STEP = "CASE WHEN packet_count > 1 THEN duration_seconds/(packet_count-1) ELSE 0 END"
@@ -68,9 +70,24 @@ _GAPS = """dg AS (SELECT 'exp' || CAST((flow_no // 8) % 4 AS VARCHAR) AS exporte
     CAST(sum(n) AS BIGINT) AS records FROM j GROUP BY exporter)"""
 
 
+def _with_noise(v):
+    """The datagrams, and beside every third one a cut copy and one of another version."""
+    third = v.datagrams.where(F.col("arrival") % 3 == 0)
+    cut = third.withColumn("payload", F.substring("payload", 1, 40))
+    other = third.withColumn("payload", F.concat(F.unhex(F.lit("0009")), F.expr("substring(payload, 3)")))
+    return v.datagrams.unionByName(cut).unionByName(other)
+
+
 @query("export_sequence_gaps", f"WITH {_GAPS} SELECT * FROM g", ["flows_v"])
 def _(v):
-    return D.export_sequence_gaps(v.datagrams, bucket=500)
+    return D.export_sequence_gaps(_with_noise(v), bucket=500)
+
+
+@query("malformed_datagrams", f"""WITH {_GAPS} SELECT exporter,
+    count(*) + 2 * count(*) FILTER (o % 3 = 0) AS datagrams, 2 * count(*) FILTER (o % 3 = 0) AS malformed
+  FROM dg GROUP BY exporter""", ["flows_v"])
+def _(v):
+    return D.malformed_datagrams(_with_noise(v))
 
 
 @query("loss_accounting", f"""WITH {_GAPS} SELECT exporter, records + lost_records AS sent,
@@ -93,24 +110,22 @@ def _(v):
     return RL.corpus_counts(corpus)
 
 
-_STORED = """(SELECT *, CAST(substr(alert_id, 2) AS BIGINT) AS no FROM alerts_v)"""
-
-
-@query("write_alerts", f"SELECT alert_id, threat_class FROM {_STORED} WHERE no % 2 = 1", ["alerts_v"])
+@query("write_alerts", "SELECT alert_id, threat_class FROM alerts_v", ["alerts_v"])
 def _(v):
-    # The rows an append would add when the even half is stored and every alert comes twice.
-    number = F.substring("alert_id", 2, 20).cast("bigint")
-    stored = alert_store.encode_alerts(v.alerts.where(number % 2 == 0))
-    return alert_store.new_alerts(v.alerts.unionByName(v.alerts), stored).select(
-        "alert_id", "threat_class")
+    # Half of the alerts first; then all of them, each twice: only the missing ones are added.
+    path = scratch_folder(v.spark, "alerts")
+    alert_store.write_alerts(v.alerts.where(F.substring("alert_id", 2, 20).cast("bigint") % 2 == 0), path)
+    alert_store.write_alerts(v.alerts.unionByName(v.alerts), path)
+    return v.spark.read.parquet(path).select("alert_id", "threat_class")
 
 
 @query("load_alerts", """SELECT alert_id, ts, evidence[1].feature_name AS first_feature,
     extensions_count FROM alerts_v WHERE threat_class = 'dga' ORDER BY ts DESC, alert_id DESC
     LIMIT 1000""", ["alerts_v"])
 def _(v):
-    stored = alert_store.encode_alerts(v.alerts)
-    return alert_store.load_alerts(stored, 1000, "dga").select(
+    path = scratch_folder(v.spark, "alerts")
+    alert_store.write_alerts(v.alerts, path)
+    return alert_store.read_alerts(v.spark, path, 1000, "dga").select(
         "alert_id", "ts", F.get("evidence", F.lit(0))["feature_name"].alias("first_feature"),
         F.col("raw_features")["extensions_count"].alias("extensions_count"))
 
@@ -118,17 +133,19 @@ def _(v):
 @query("export_report_csv", """SELECT alert_id, severity, confidence FROM alerts_v
     ORDER BY ts DESC, alert_id DESC LIMIT 100""", ["alerts_v"])
 def _(v):
-    from ..operators.reports import report_rows
-    return report_rows(v.alerts).select("alert_id", "severity", "confidence")
+    path = scratch_folder(v.spark, "report-csv")
+    alert_store.export_report_csv(v.alerts, path)
+    return v.spark.read.option("header", True).option("escape", '"').csv(path).select(
+        "alert_id", "severity", F.col("confidence").cast("double").alias("confidence"))
 
 
 @query("export_report_json", """SELECT alert_id, evidence[2].feature_name AS second_feature FROM alerts_v
     WHERE severity = 'high' ORDER BY ts DESC, alert_id DESC LIMIT 100""", ["alerts_v"])
 def _(v):
-    from ..operators.reports import report_rows
-    rows = report_rows(v.alerts, include_raw_features=True, severity="high")
-    return rows.select("alert_id", F.get_json_object("evidence", "$[1].feature_name")
-                       .alias("second_feature"))
+    path = scratch_folder(v.spark, "report-json")
+    alert_store.export_report_json(v.alerts, path, include_raw_features=True, severity="high")
+    rows = v.spark.read.schema("alert_id string, evidence array<struct<feature_name:string>>").json(path)
+    return rows.select("alert_id", F.get("evidence", F.lit(1))["feature_name"].alias("second_feature"))
 
 
 # ------------------------------------------------------------------ telemetry

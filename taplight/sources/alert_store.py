@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +40,14 @@ def new_alerts(alerts: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
-    """Append alerts whose id is not in the table; calling again adds nothing."""
-    spark = alerts.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    rows = new_alerts(alerts, spark.read.parquet(path)) if exists \
-        else encode_alerts(alerts).dropDuplicates(["alert_id"])
+    """Append alerts whose id is not in the table; calling again adds nothing. One writer at
+    a time: two at once may both find an id missing."""
+    try:
+        rows = new_alerts(alerts, alerts.sparkSession.read.parquet(path))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = encode_alerts(alerts).dropDuplicates(["alert_id"])
     rows.write.mode("append").partitionBy("day", "threat_class").parquet(path)
 
 

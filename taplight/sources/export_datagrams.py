@@ -36,11 +36,23 @@ def with_header(datagrams: DataFrame, payload: str = "payload") -> DataFrame:
         "export_secs": _uint(p, 8, 4), "export_nsecs": _uint(p, 12, 4), "sequence": _uint(p, 16, 4)})
 
 
+def is_complete(payload: str = "payload") -> Column:
+    """Version 5 with at least one record and room for all it announces; null is malformed."""
+    return F.coalesce((F.col("version") == 5) & (F.col("record_count") > 0) & (
+        F.octet_length(payload) >= HEADER_BYTES + RECORD_BYTES * F.col("record_count")), F.lit(False))
+
+
+def malformed_datagrams(datagrams: DataFrame, exporter: str = "exporter",
+                        payload: str = "payload") -> DataFrame:
+    """Datagrams per exporter, and how many of them can't be decoded."""
+    return with_header(datagrams, payload).groupBy(exporter).agg(
+        F.count(F.lit(1)).alias("datagrams"),
+        F.count_if(~is_complete(payload)).alias("malformed"))
+
+
 def netflow_v5_decode(datagrams: DataFrame, payload: str = "payload") -> DataFrame:
     """One flow row per record of each complete version 5 datagram."""
-    headed = with_header(datagrams, payload).where(
-        (F.col("version") == 5) & (F.col("record_count") > 0)
-        & (F.octet_length(payload) >= HEADER_BYTES + RECORD_BYTES * F.col("record_count")))
+    headed = with_header(datagrams, payload).where(is_complete(payload))
     rows = headed.withColumn("record_no", F.explode(
         F.sequence(F.lit(0).cast("bigint"), F.col("record_count") - 1)))
     base = (F.lit(HEADER_BYTES) + F.col("record_no") * RECORD_BYTES).cast("int")
@@ -68,12 +80,13 @@ def export_sequence_gaps(datagrams: DataFrame, exporter: str = "exporter",
 
     Arrivals are cut into buckets, so one busy exporter is followed by many tasks. A bucket
     reports its own gaps and its edges; edges meet in a scan over the exporter's buckets.
+    Datagrams that can't be decoded don't count; ``malformed_datagrams`` reports them.
     """
     def gap(seq: Column, expected: Column) -> Column:
         jump = F.pmod(seq - expected, F.lit(2 ** 32))
         return F.when((jump > 0) & (jump < 2 ** 31 - 1), jump).otherwise(0)
 
-    rows = with_header(datagrams).select(
+    rows = with_header(datagrams).where(is_complete()).select(
         exporter, arrival, "sequence", "record_count", F.floor(F.col(arrival) / bucket).alias("_b"),
         F.pmod(F.col("sequence") + F.col("record_count"), F.lit(2 ** 32)).alias("_next"))
     w = Window.partitionBy(exporter, "_b").orderBy(arrival, "sequence")
