@@ -171,7 +171,8 @@ def _compare(percent: int):
 
     def links(rows: pa.Table, first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         part = rows.slice(first, size)
-        planes = np.array(part.column("a_planes").to_pylist(), dtype=np.int64).reshape(size, BITS, -1)
+        # Unsigned, since bitwise_count counts the bits of a negative number's absolute value.
+        planes = np.array(part.column("a_planes").to_pylist(), dtype=np.int64).view(np.uint64).reshape(size, BITS, -1)
         n = part.column("a_n").to_numpy()
         chunk = part.column("chunk").to_numpy()
         cross = part.column("lo")[0] != part.column("hi")[0]
