@@ -215,6 +215,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def ids_array(ids: Column) -> Column:
-    """Packed ids as an array of long."""
-    return F.transform(F.sequence(F.lit(1), F.octet_length(ids), F.lit(4)), lambda i: F.conv(
-        F.hex(F.reverse(F.substring(ids, i, F.lit(4)))), 16, 10).cast("long"))
+    """Packed ids as an array of long; no ids give an empty array."""
+    def number(i: Column) -> Column:
+        digits = F.hex(F.substring(ids, i, F.lit(4)))
+        return F.conv(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("long")
+
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(ids) / 4).cast("int")),
+                         lambda n: 4 * n - 3)
+    return F.when(F.octet_length(ids) >= 4, F.transform(starts, number)).otherwise(F.array().cast("array<long>"))
