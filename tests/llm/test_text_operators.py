@@ -180,6 +180,7 @@ def test_bpe_equals_tiktoken(spark):
         assert bytes(got[i]["decoded"]) == (t or "").encode()
     lists = encoded.where("doc_id = 4").select(byte_bpe.ids_array(encoded["ids"]).alias("x")).first()["x"]
     assert lists == plain.encode_ordinary(texts[4])
+    assert encoded.where("doc_id = 0").select(byte_bpe.ids_array(encoded["ids"]).alias("x")).first()["x"] == []
     assert byte_bpe.encode(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
