@@ -49,8 +49,13 @@ def dictionaries(training: DataFrame, size: int = DICTIONARY_BYTES, rows: int =
     ``size`` bytes a language reach the driver.
     """
     usable = training.where("lang is not null and text is not null and text != ''").select(
-        "lang", "text", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n"),
-        F.xxhash64("text").alias("t"))
+        "lang", "text", F.xxhash64("doc_id").alias("h"))
+    # Hashes below a share that holds four times the rows wanted; all rows of a rare language.
+    share = usable.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n_rows"))
+    part = F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)
+    usable = usable.join(share, F.col("lang") == F.col("l")).where(
+        part <= 4 * rows / F.col("n_rows")).select(
+        "lang", "text", "h", F.octet_length("text").alias("n"), F.xxhash64("text").alias("t"))
     order = Window.partitionBy("lang").orderBy("h", "t")
     chosen = usable.select("lang", "h", "t", "n").withColumn("nth", F.row_number().over(order)).where(
         F.col("nth") <= rows).withColumn("before", F.sum("n").over(order.rowsBetween(
