@@ -78,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_prefix_decontamination": sql.DECONTAMINATION,
+        "op5_hyperplane_near_dedup": sql.NEAR_VECTORS,
+        "op6_minhash_near_dedup": sql.NEAR_TEXT,
         "op7_temporal_url_filter": sql.URL_FILTER,
         "op9_extendible_sharding": sql.SHARDING,
         "op10_warc_capture_index": sql.WARC,

@@ -69,3 +69,29 @@ SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coal
     CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
 FROM (SELECT *, strlen(coalesce(html, '')) >= 100 AND first <> page_id AS again
       FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))"""
+
+_REACH = """r AS (SELECT {id} AS a, {id} AS b FROM {rows}
+    UNION SELECT r.a, l.b FROM r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)"""
+
+NEAR_TEXT = """
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') || ' ' || least(len(w), 5) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (g)
+    WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b
+    WHERE 100 * shared >= 75 * (u.n + v.n - shared)),
+""" + _REACH.format(id="doc_id", rows="documents") + """
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y USING (label) WHERE x.vec_id <> y.vec_id
+    AND list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)) >= 0.93),
+""" + _REACH.format(id="vec_id", rows="embeddings") + """
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN c ON c.a = vec_id"""
