@@ -77,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_scan": sql.SECRETS,
         "op4_prefix_decontamination": sql.DECONTAMINATION,
         "op5_hyperplane_near_dedup": sql.NEAR_VECTORS,
         "op6_minhash_near_dedup": sql.NEAR_TEXT,

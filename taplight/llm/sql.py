@@ -95,3 +95,78 @@ links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y USI
 """ + _REACH.format(id="vec_id", rows="embeddings") + """
 SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
 FROM e JOIN c ON c.a = vec_id"""
+
+
+def _chosen(column: str, cases: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {v}" for k, v in cases) + " END"
+
+
+_UP, _LOW, _NUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ALPHABETS = [("hex", _NUM + "abcdef"), ("hex_upper", _NUM + "ABCDEF"), ("base32", _UP + "234567"),
+              ("base62", _UP + _LOW + _NUM), ("base64url", _UP + _LOW + _NUM + "-_"), ("base64", _UP + _LOW + _NUM + "+/")]
+_PATTERNS = [("assign", "(?i:(?:password|passwd|secret|token|api_?key))[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9+/_.=-]+"),
+             ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), ("random", "[A-Za-z0-9+/_=-]+")]
+
+
+def _tail(z: str) -> str:
+    """Upper tail of the normal distribution, by the same rational approximation."""
+    t = f"(1 / (1 + 0.3275911 * (abs({z}) / sqrt(2::DOUBLE))))"
+    poly = "1.061405429"
+    for c in ("-1.453152027", "1.421413741", "-0.284496736", "0.254829592"):
+        poly = f"({poly} * {t} + {c})"
+    half = f"({poly} * {t} * exp(-({z}) * ({z}) / 2) / 2)"
+    return f"greatest(1e-30, CASE WHEN {z} >= 0 THEN {half} ELSE 1 - {half} END)"
+
+
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS (SELECT doc_id, kind, unnest(list_zip(m, g[:len(m)])) AS x, generate_subscripts(m, 1) AS nth FROM (
+    {" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d" for k, p in _PATTERNS)})
+    WHERE len(m) > 0),
+o AS (SELECT doc_id, kind, x[1] AS token, sum(length(x[2]) + length(x[1])) OVER (
+    PARTITION BY doc_id, kind ORDER BY nth) AS stop FROM k),
+a AS (SELECT doc_id, kind, token, (stop - length(token))::BIGINT AS start, stop::BIGINT AS stop FROM o),
+base AS (SELECT doc_id, kind, start, stop FROM a WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(token, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 8
+    WHEN 'access' THEN length(token) >= 16 WHEN 'hex' THEN length(token) >= 32 ELSE false END),
+t AS (SELECT *, CASE WHEN NOT regexp_matches(body, '[0-9]') OR NOT regexp_matches(body, '[A-Za-z]') THEN NULL
+      WHEN regexp_full_match(body, '[0-9a-f]+') THEN 'hex' WHEN regexp_full_match(body, '[0-9A-F]+') THEN 'hex_upper'
+      WHEN regexp_full_match(body, '[A-Z2-7]+') THEN 'base32' WHEN regexp_full_match(body, '[0-9A-Za-z]+') THEN 'base62'
+      WHEN regexp_full_match(body, '[0-9A-Za-z_-]+') THEN 'base64url' ELSE 'base64' END AS encoding
+    FROM (SELECT *, regexp_replace(token, '=+$', '') AS body FROM a
+          WHERE kind = 'random' AND regexp_full_match(token, '[A-Za-z0-9+/_-]{{20,}}={{0,2}}'))),
+v AS (SELECT doc_id, start, stop, encoding, length(body)::DOUBLE AS n, string_split(body, '') AS c,
+      {_chosen("encoding", [(k, str(len(x))) for k, x in _ALPHABETS])}::DOUBLE AS k,
+      list_transform(string_split(body, ''), lambda c: (instr({_chosen("encoding", [(k, f"'{x}'") for k, x in _ALPHABETS])}, c) - 1)::DOUBLE) AS v
+    FROM t WHERE encoding IS NOT NULL),
+w AS (SELECT *, list_sum(list_transform(list_distinct(c), lambda x: pow(len(list_filter(c, lambda y: y = x)), 2))) AS sq,
+      list_transform(v, lambda x: (x >= k / 2)::INT) AS h, list_sum(v) / n AS mean FROM v),
+u AS (SELECT *, (sq * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z_chi,
+      2.0 * list_sum(h) * (n - list_sum(h)) AS twice,
+      1 + list_sum(list_transform(range(1, len(h)), lambda i: (h[i] <> h[i + 1])::INT)) AS runs,
+      list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) AS power,
+      list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mean) * (v[i + 1] - mean))) AS crossed FROM w),
+y AS (SELECT *, twice * (twice - n) / (n * n * (n - 1)) AS spread FROM u),
+z AS (SELECT *, CASE WHEN spread > 0 THEN abs((runs - 1 - twice / n) / sqrt(spread)) END AS z_runs,
+      CASE WHEN power > 0 THEN abs((crossed / power + 1 / n) * sqrt(n)) END AS z_serial FROM y),
+q AS (SELECT doc_id, start, stop, encoding, floor(2 * log2(n))::INT AS size_class, least(1.0::DOUBLE, 3 * least({_tail("z_chi")},
+      CASE WHEN z_runs IS NULL THEN 1 ELSE least(1, 2 * {_tail("z_runs")}) END,
+      CASE WHEN z_serial IS NULL THEN 1 ELSE least(1, 2 * {_tail("z_serial")}) END)) AS p FROM z),
+b AS (SELECT *, least(300, floor(-10 * log10(p)))::INT AS decade FROM q),
+cut AS (SELECT encoding, size_class, min(decade) AS cut FROM (
+      SELECT encoding, size_class, decade, sum(m) OVER (PARTITION BY encoding, size_class ORDER BY decade DESC)
+        / sum(m) OVER (PARTITION BY encoding, size_class) AS share
+      FROM (SELECT encoding, size_class, decade, count(*) AS m FROM b GROUP BY 1, 2, 3))
+    WHERE pow(10, -decade / 10.0) <= 0.05 * share GROUP BY 1, 2),
+r AS (SELECT doc_id, 'random' AS kind, start, stop FROM b LEFT JOIN cut USING (encoding, size_class)
+    WHERE NOT coalesce(decade >= cut, false)),
+s AS (SELECT * FROM base UNION ALL SELECT * FROM r WHERE NOT EXISTS (
+    SELECT 1 FROM base WHERE base.doc_id = r.doc_id AND base.start < r.stop AND r.start < base.stop)),
+f AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+      count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'random') AS n_random,
+      string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) FILTER (kind <> 'random') AS fixed,
+      string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) AS spans
+    FROM (SELECT *, list_position(['assign', 'access', 'hex', 'random'], kind) AS nth FROM s) GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(fixed, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random
+FROM d LEFT JOIN f USING (doc_id)"""

@@ -10,7 +10,8 @@ import regex
 import tiktoken
 
 import reference
-from taplight.llm import byte_bpe, decontaminate, language, pii, secret_scan
+from oracle import compare
+from taplight.llm import byte_bpe, decontaminate, language, pii, secret_scan, sql
 
 SCHEMA = "doc_id long, text string, lang string, kind string, start int, spans string"
 
@@ -57,6 +58,20 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert sum(got[100 + i] for i in range(len(names))) == 0
 
 
+def test_battery_equals_its_sql(spark, tmp_path):
+    rng = random.Random(7)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "aeiou1" * 3 + "xyzB",
+                 "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"]
+    texts = [" ".join("".join(rng.choice(a) for _ in range(rng.randrange(20, 31))) + "=" * rng.randrange(3)
+                      for a in alphabets) for _ in range(60)]
+    texts += ["a1" * 15, "1" * 19 + "a", "token=" + "".join(rng.choice(alphabets[4]) for _ in range(40))]
+    _docs(spark, list(enumerate(texts))).toPandas().to_parquet(tmp_path / "documents.parquet")
+    found = secret_scan.secret_scan(_docs(spark, list(enumerate(texts))))
+    assert found.agg({"n_random": "sum"}).first()[0] > 50
+    ok, note = compare(found, sql.SECRETS, str(tmp_path))
+    assert ok, note
+
+
 def test_redaction_keeps_everything_else(spark):
     rows = [(1, "é token = \"abcdefgh12\"! " + "ff" * 16), (2, None), (3, "clean"), (1, "clean too"),
             (4, "token=" + "ab" * 20)]
