@@ -91,6 +91,18 @@ def _(v):
     return E.one_sided_ablation(_labelled(v), _found, ("ddos", "exfiltration", "dns_tunnel"))
 
 
+@query("ablation_cost", f"""WITH {_DET}, s AS (SELECT c AS class,
+    count(*) FILTER (label = c AND list_contains(cs, c)) AS tp,
+    count(*) FILTER (label IN ('benign','benign_keepalive') AND list_contains(cs, c)) AS fp,
+    count(*) FILTER (label = c AND NOT list_contains(cs, c)) AS fn
+  FROM out, (VALUES ('ddos'),('exfiltration'),('dns_tunnel')) u(c) GROUP BY ALL), f AS (SELECT *, {_prf_sql()} FROM s)
+  SELECT class, f1 AS bidirectional, f1 AS unidirectional, f1 AS recovered, 0.0::DOUBLE AS cost,
+    0.0::DOUBLE AS regained FROM f""", ["flows_v"])
+def _(v):
+    scores = E.one_sided_ablation(_labelled(v), _found, ("ddos", "exfiltration", "dns_tunnel"))
+    return E.ablation_cost(scores)
+
+
 @query("one_sided_rules", f"""WITH {_SMALL} SELECT flow_id, array_to_string(list_filter([
     CASE WHEN packet_count/greatest(duration_seconds, 1e-6) > 50 OR (dst_port IN (53,123,161,389,1900,11211)
       AND packet_count/greatest(duration_seconds, 1e-6) > 20) THEN 'ddos' END,
@@ -149,6 +161,27 @@ def _(v):
     return E.regression_gate(_rates(v), _rates(v, -0.01))
 
 
+@query("gate_passes", f"""WITH {_RATES} SELECT coalesce(bool_and(kind = 'false_positive'), true) AS passes
+    FROM rates""", ["flows_v"])
+def _(v):
+    return E.gate_passes(E.regression_gate(_rates(v), _rates(v, -0.01)))
+
+
+def _language_metrics(v, value):
+    return v.table("documents").where("lang is not null").groupBy(F.col("lang").alias("artifact")).agg(
+        value.cast("string").alias("value")).withColumn("metric", F.lit("texts"))
+
+
+@query("stale_artifacts", """SELECT lang AS artifact FROM documents WHERE lang IS NOT NULL GROUP BY lang
+    HAVING count(*) <> count(DISTINCT text)""")
+def _(v):
+    # Stored figures count all texts of a language, the fresh ones each text once.
+    def rolled(rows):
+        return E.evaluation_rollup(rows, [r["artifact"] for r in rows.select("artifact").collect()])
+    return E.stale_artifacts(rolled(_language_metrics(v, F.count(F.lit(1)))),
+                             rolled(_language_metrics(v, F.count_distinct("text"))))
+
+
 @query("evaluation_rollup", """WITH a AS (SELECT lang AS artifact, count(*) AS n FROM documents GROUP BY 1)
   SELECT w AS artifact, CASE WHEN n IS NULL THEN 'unavailable' ELSE 'available' END AS status,
     CASE WHEN n IS NOT NULL THEN '{"rows":"' || CAST(n AS VARCHAR) || '"}' END AS metrics

@@ -110,6 +110,19 @@ def _(v):
     return RL.corpus_counts(corpus)
 
 
+@query("fingerprint_load", """SELECT DISTINCT md5(CAST(c_custkey % 50 AS VARCHAR)) AS ja3, 'malware' AS label,
+    'f' || CAST(c_custkey % 50 % 7 AS VARCHAR) AS family FROM customer""")
+def _(v):
+    # Fifty fingerprints made from the customers' keys, as one JSON list.
+    key = F.col("c_custkey") % 50
+    rows = v.table("customer").select(F.struct(
+        F.md5(key.cast("string")).alias("ja3"), F.lit("malware").alias("label"),
+        F.concat(F.lit("f"), (key % 7).cast("string")).alias("family")).alias("row")).distinct()
+    path = scratch_folder(v.spark, "fingerprints")
+    rows.agg(F.to_json(F.collect_list("row")).alias("value")).write.text(path)
+    return RL.read_fingerprints(v.spark, path).select("ja3", "label", "family")
+
+
 @query("write_alerts", "SELECT alert_id, threat_class FROM alerts_v", ["alerts_v"])
 def _(v):
     # Half of the alerts first; then all of them, each twice: only the missing ones are added.
