@@ -248,9 +248,10 @@ def validate_alerts(alerts: DataFrame) -> DataFrame:
         F.when(broken, F.lit(rule)) for rule, broken in rules.items()])))
 
 
-def active_alerts(alerts: DataFrame, max_history: int = 10_000) -> DataFrame:
-    """The newest alerts a bounded active set would hold."""
-    return alerts.orderBy(F.desc("ts"), F.desc("alert_id")).limit(max_history)
+def active_alerts(alerts: DataFrame, max_history: int = 10_000, least: int = 1000) -> DataFrame:
+    """The newest alerts a bounded active set would hold: ``max_history``, but no fewer than
+    ``least``, which the alert manager's contract fixes at 1,000; 0 lifts it."""
+    return alerts.orderBy(F.desc("ts"), F.desc("alert_id")).limit(max(least, max_history))
 
 
 def threat_counts(alerts: DataFrame, count: str | None = None) -> DataFrame:
