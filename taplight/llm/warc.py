@@ -250,7 +250,9 @@ def read_captures(wanted: DataFrame, folder: str, top: list[tuple], with_payload
     spark: SparkSession = wanted.sparkSession
     shipped = spark.sparkContext.broadcast(top)
     places = wanted.select(_place(url_key(F.col("url")), F.col("page_id").cast("long")).alias("place")).distinct()
-    return places.repartitionByRange("place").sortWithinPartitions("place").mapInArrow(
+    # A fixed number of tasks: sized by their keys alone, a few tasks would read all records.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartitionByRange(tasks, "place").sortWithinPartitions("place").mapInArrow(
         _read(shipped, folder, with_payload), _READ + ", payload binary" * with_payload)
 
 
