@@ -9,9 +9,6 @@ from ..session import cut_lineage
 from .detectors import _EXFIL, _RATED_S, _RATE_HIT, _SMALL, _TUNNEL, _small
 from .registry import query
 
-# Queries train with fewer rounds than the library default to keep the catalogue quick.
-_ROUNDS = 10
-
 
 def _labelled(v):
     """Flows with a label by line number, standing in for a labelled stream."""
@@ -131,15 +128,14 @@ _KEEP = _DRAW.format(what="keep", i="")
     round(CASE WHEN loss > 0 AND len(ks) >= 2 THEN greatest(ts[ks[-1]+1] - ts[ks[1]+1], 0.001)
       ELSE duration_seconds END, 3)::DOUBLE AS duration_seconds FROM kept""", ["slow_v"])
 def _(v):
-    out = E.packet_loss_resample(v.slow, (0.0, 0.2), 2)
+    out = E.packet_loss_resample(v.slow)
     return out.select("flow_id", "loss", "trial", "packet_count", "bytes_transferred",
                       F.round("duration_seconds", 3).alias("duration_seconds"))
 
 
 @query("loss_study")
 def _(v):
-    return E.loss_study(_labelled(v), _found, ("ddos", "exfiltration", "dns_tunnel"),
-                        levels=(0.0, 0.05, 0.2), trials=2)
+    return E.loss_study(_labelled(v), _found)
 
 
 _RATES = f"""{_DET}, rates AS (SELECT label AS metric, CASE WHEN label LIKE 'benign%' THEN 'false_positive'
@@ -229,7 +225,7 @@ def _names(v):
 @query("train_dga")
 def _(v):
     rows = E.stratified_split(_names(v), "label", "domain")
-    model = M.train_dga(rows.where("is_train"), _ROUNDS)
+    model = M.train_dga(rows.where("is_train"))
     held = M.score_names(rows.where("NOT is_train"), model).withColumn(
         "pred", (F.col("dga_probability") > 0.5).cast("int"))
     return E.binary_metrics(held, "label", "pred", "dga_probability")
@@ -237,12 +233,12 @@ def _(v):
 
 @query("cross_validated_auc")
 def _(v):
-    return E.cross_validated_auc(_names(v), folds=3, rounds=3)
+    return E.cross_validated_auc(_names(v))
 
 
 @query("dga_detect")
 def _(v):
-    found = M.dga_detect(v.flows, M.train_dga(_names(v), _ROUNDS))
+    found = M.dga_detect(v.flows, M.train_dga(_names(v)))
     return found.select("flow_id", "threat_class", "severity", F.round("confidence", 6).alias("confidence"))
 
 
