@@ -58,6 +58,26 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert sum(got[100 + i] for i in range(len(names))) == 0
 
 
+def test_random_tokens_behind_any_sign_are_found(spark):
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["GITHUB_PAT={}", "https://h/x?sig={}&v=1", "https://h/x?x={}", 'auth="{}"', "auth='{}'", "AUTH: {}", "auth:{}",
+             "--key={}==", "a=={}"]
+    texts, want = [], []
+    for form in forms:
+        for _ in range(10):
+            token = "1" + "".join(rng.choice(alphabet) for _ in range(39))
+            text = form.format(token)
+            start = text.index(token)
+            texts.append(text)
+            want.append(f"random:{start}:{start + 40 + 2 * text.endswith('==')}")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(_docs(spark, list(enumerate(texts)))).collect()}
+    for f, form in enumerate(forms):
+        right = sum(got[i] == want[i] for i in range(10 * f, 10 * f + 10))
+        assert right >= 8, (form, right)
+    assert all(got[i] in ("", want[i]) for i in got)
+
+
 def test_battery_equals_its_sql(spark, tmp_path):
     rng = random.Random(7)
     alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "aeiou1" * 3 + "xyzB",
