@@ -1,22 +1,26 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are what fixed patterns find: e-mail and IP addresses, card and phone numbers. Every
-seed, and every other token with a digit, is a mention of an instance in a lexical pattern:
-its two left words, or its left and right word. Spark scores the pattern-instance graph in
+seed, and every other token with a digit or an @, is a mention of an instance in a lexical
+pattern: its two left words, or its left and right word. So is every run of two or more tokens
+of digits, spaces, brackets and hyphens. A token over ``LONGEST_TOKEN`` (a URL, text without
+spaces) is no instance as a whole; the identifier-shaped parts inside it are. Spark scores the pattern-instance graph in
 ``ROUNDS`` rounds. A pattern's confidence for a kind is the summed score of its instances of
 that kind over its instances plus one, if at least ``LEAST_SEEDS`` of them are seeds; an unseen
 instance of a fitting shape scores one minus the product of its patterns' doubts. Instances
 over ``ACCEPT`` count for patterns in the next round. In the end the confident patterns'
-mentions of accepted instances are reported as ``found_<kind>``.
+mentions of accepted instances are reported as ``found_<kind>``, unless they lie inside longer ones.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, written
@@ -33,6 +37,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(r"(?<![\w.@-])[+(]?[0-9](?:[\x20()-]*[0-9])*(?!\w)")
+_PART = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]*[A-Za-z0-9]|(?<![0-9])\+?[0-9](?:[().-]*[0-9])*")
+_WORDS = re.compile(r"\w+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -90,16 +97,27 @@ def _word(token: str) -> str:
 
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     """``(start, stop, kind number or -1, fits, instance, [patterns])`` of the text's candidates."""
-    if not _DIGIT.search(text) and not spans:
+    if not _DIGIT.search(text) and "@" not in text and not spans:
         return []
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     out, nth = [], 0
 
-    def patterns(first: int, last: int) -> list[str]:
+    def patterns(first: int, last: int, start: int, stop: int) -> list[str]:
         left = [_word(text[slice(*tokens[i])]) if i >= 0 else "^" for i in (first - 2, first - 1)]
         right = _word(text[slice(*tokens[last + 1])]) if last + 1 < len(tokens) else "$"
+        if tokens[first][1] - tokens[first][0] > LONGEST_TOKEN:
+            inside = _WORDS.findall(text, max(tokens[first][0], start - LONGEST_TOKEN), start)
+            left = [*left, *map(_word, inside)][-2:]
+        if tokens[last][1] - tokens[last][0] > LONGEST_TOKEN:
+            m = _WORDS.search(text, stop, min(tokens[last][1], stop + LONGEST_TOKEN))
+            right = _word(m.group()) if m else right
         return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right}"]
 
+    def add(first: int, last: int, start: int, stop: int) -> None:
+        fits = _fits(text[start:stop])
+        if fits:
+            out.append((start, stop, -1, fits, text[start:stop].lower(), patterns(first, last, start, stop)))
+
     taken: set[int] = set()
     for start, kind, stop in spans:
         while nth and tokens[nth][0] > start:
@@ -110,16 +128,32 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
         while last + 1 < len(tokens) and tokens[last + 1][0] < stop:
             last += 1
         taken.update(range(nth, last + 1))
-        out.append((start, stop, kind, 0, text[start:stop].lower(), patterns(nth, last)))
+        out.append((start, stop, kind, 0, text[start:stop].lower(), patterns(nth, last, start, stop)))
+    starts = [a for a, _, _ in spans]
+    ends = list(accumulate((b for _, _, b in spans), max))
+
+    def free(start: int, stop: int) -> bool:
+        """No seed overlaps the place."""
+        before = bisect_left(starts, stop)
+        return not before or ends[before - 1] <= start
+
     for i, (a, b) in enumerate(tokens):
-        if i in taken or b - a > LONGEST_TOKEN or not _DIGIT.search(text, a, b):
+        if b - a > LONGEST_TOKEN:
+            for m in _PART.finditer(text, a, b):
+                if free(*m.span()):
+                    add(i, i, *m.span())
+            continue
+        if i in taken or not (_DIGIT.search(text, a, b) or text.find("@", a, b) >= 0):
             continue
         token = text[a:b]
         lead = len(token) - len(token.lstrip("\"'([{<,;:.!?*#%$&|"))
         value = token[lead:].rstrip("\"')]}>,;:.!?*#%$&|")
-        fits = _fits(value)
-        if fits:
-            out.append((a + lead, a + lead + len(value), -1, fits, value.lower(), patterns(i, i)))
+        add(i, i, a + lead, a + lead + len(value))
+    at = [a for a, _ in tokens]
+    for m in _RUN.finditer(text):
+        first, last = bisect_right(at, m.start()) - 1, bisect_right(at, m.end() - 1) - 1
+        if first != last and free(*m.span()):
+            add(first, last, *m.span())
     return out
 
 
@@ -193,7 +227,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     trusted, scores = _score(flat)
     found = flat.where("kind < 0").drop("kind").join(trusted, "pattern").join(
         scores.where("seed = 0").select("instance", "kind"), ["instance", "kind"]).select(
-        "doc_key", "start", (F.col("kind") + len(BASE)).alias("nth"), "stop").distinct().groupBy("doc_key").agg(
+        "doc_key", "start", (F.col("kind") + len(BASE)).alias("nth"), "stop").distinct()
+    line = Window.partitionBy("doc_key").orderBy("start", F.col("stop").desc())
+    found = found.withColumn("reach_", F.max("stop").over(line.rowsBetween(
+        Window.unboundedPreceding, -1))).where("reach_ is null or reach_ < stop").groupBy("doc_key").agg(
         F.collect_list(F.struct("start", "nth", "stop")).alias("more")).withColumnRenamed("doc_key", "k")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.nth = {i})) as long)").alias(f"n_{k}")
               for i, k in enumerate(BASE)]

@@ -230,3 +230,61 @@ def test_memory_of_pieces_may_overflow(monkeypatch):
         assert vocabulary.decode(b"".join(known[p] for p in pieces)) == text.encode()
     assert hashlib.sha256(b"").hexdigest() == reference.sha("")
     vocabulary._memo = None
+
+
+def _bootstrapped(texts: list[str]) -> dict:
+    """The scoring rounds over the mentions' graph, in plain Python."""
+    marks = [(d, *m) for d, t in enumerate(texts) for m in pii.mentions(t, pii.base_spans(t))]
+    edges, seed, fits = {}, {}, {}
+    for _, _, _, kind, shape, value, patterns in marks:
+        for p in patterns:
+            edges.setdefault(p, set()).add(value)
+        if kind >= 0:
+            seed[value, kind] = 1.0
+        fits[value] = -1 if kind >= 0 or fits.get(value) == -1 else shape
+    scores = dict(seed)
+    for _ in range(pii.ROUNDS):
+        trusted = {}
+        for p, values in edges.items():
+            for k in range(4):
+                c = sum(scores.get((v, k), 0) for v in values) / (len(values) + 1)
+                if sum((v, k) in seed for v in values) >= pii.LEAST_SEEDS and c >= pii.CONFIDENT:
+                    trusted[p, k] = c
+        scores = dict(seed)
+        for v in [v for v, shape in fits.items() if shape > 0]:
+            doubt = [1.0] * 4
+            for (p, k), c in trusted.items():
+                if v in edges[p] and fits[v] >> k & 1:
+                    doubt[k] *= 1 - c
+            k = min(range(4), key=lambda k: (doubt[k], k))
+            if 1 - doubt[k] >= pii.ACCEPT:
+                scores[v, k] = 1 - doubt[k]
+    found = {(d, a, b, k) for d, a, b, kind, _, v, patterns in marks for k in range(4)
+             if kind < 0 and (v, k) in scores and any((p, k) in trusted for p in patterns)}
+    found = {x for x in found if not any(
+        y != x and y[0] == x[0] and y[1] <= x[1] and y[2] >= x[2] for y in found)}
+    return {d: [f"{pii.KINDS[4 + k]}:{a}:{b}" for e, a, b, k in sorted(found) if e == d] for d in range(len(texts))}
+
+
+def test_unseen_identifiers_of_any_format_are_found(spark):
+    pad = "https://example.org/" + "a" * 60
+    texts = [f"my phone number +1 202 555 {1000 + i} today" for i in range(20)]
+    texts += [f"my card number 4111 1111 1111 {n} please" for n in range(1000, 1300)
+              if pii._luhn(f"411111111111{n}")]
+    texts += [f"write mail to user{i}@example.org soon" for i in range(20)]
+    texts += [f"{pad}?user&phone=+1202555{1000 + i}&end=z" for i in range(20)]
+    want = {
+        "my phone number 202 555 9999 today": ("phone", "202 555 9999"),
+        "my phone number (202) 555-9998 today": ("phone", "(202) 555-9998"),
+        "my card number 4111 1111 1111 1112 please": ("card", "4111 1111 1111 1112"),
+        "write mail to jane@intranet soon": ("email", "jane@intranet"),
+        f"{pad}?user&phone=2025559997&end=z": ("phone", "2025559997"),
+    }
+    first = len(texts)
+    texts += [*want, "nothing here", "1 " * 500]
+    got = {r["doc_id"]: [s for s in _spans(r["spans"]) if s.startswith("found")]
+           for r in pii.personal_data(_docs(spark, list(enumerate(texts)))).collect()}
+    for i, (text, (kind, value)) in enumerate(want.items()):
+        start = text.index(value)
+        assert got[first + i] == [f"found_{kind}:{start}:{start + len(value)}"], text
+    assert got == _bootstrapped(texts)
