@@ -12,8 +12,8 @@ the estimate (4.5 standard deviations below the threshold) with one of about 3e-
 Groups of copies never turn into all pairs. Equal sets collapse into one class first. In a
 bucket every class is compared with the bucket's smallest class only; then components are
 formed, and a second pass compares those classes of a bucket that are still in different
-components, side by side inside tasks: a bucket with many shingles is dealt out as pairs of
-chunks, and a task sends on one root per class, never pairs. Every candidate pair thus ends
+components, side by side inside tasks: a bucket with many shingles or rows is dealt out as
+pairs of chunks, a task holds one row's candidates at a time, and a task sends on one root per class, never pairs. Every candidate pair thus ends
 either confirmed, refused, or inside one component.
 """
 
@@ -36,6 +36,7 @@ MINIMA = BANDS * ROWS
 PERCENT = 75
 SIGMAS = 4.5
 BLOCK_SHINGLES = 300_000
+BLOCK_ROWS = 5_000
 
 _SKETCH = ("doc_id long, row_key string, n_shingles long, digest binary, class_key long, "
            "bands array<long>, planes array<long>")
@@ -176,36 +177,42 @@ def _compare(percent: int):
         n = part.column("a_n").to_numpy()
         chunk = part.column("chunk").to_numpy()
         cross = part.column("lo")[0] != part.column("hi")[0]
+        none = np.empty(0, dtype=np.int64)
         names: dict = {}
         root = np.array([names.setdefault(r, len(names)) for r in part.column("root").to_pylist()])
-        likely = np.zeros((size, size), dtype=bool)
-        for i in range(size - 1):
+
+        def likely(i: int) -> np.ndarray:
+            """Later rows that may be linked to row i."""
             differ = np.bitwise_or.reduce(planes[i] ^ planes[i + 1:], axis=1)
             unequal = np.bitwise_count(differ).sum(axis=1)
             estimate = ((1 - unequal / MINIMA) - chance) / (1 - chance)
             small, large = np.minimum(n[i], n[i + 1:]), np.maximum(n[i], n[i + 1:])
             fine = (estimate >= bound) & (100 * small >= percent * large) & (root[i] != root[i + 1:])
-            likely[i, i + 1:] = fine & (chunk[i] != chunk[i + 1:]) if cross else fine
-        some = np.flatnonzero(likely.any(axis=1))
-        none = np.empty(0, dtype=np.int64)
-        if not len(some):
-            return none, none
+            return i + 1 + np.flatnonzero(fine & (chunk[i] != chunk[i + 1:]) if cross else fine)
+
         sets: list[np.ndarray] = []
-        for texts in in_chunks(part.column("text").cast(pa.binary()).to_pylist()):
-            sets += shingle_sets(texts)
-        owner = np.repeat(np.arange(size), [len(s) for s in sets])
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
         left, right = [none], [none]
-        for i in some.tolist():
+        for i in range(size - 1):
+            may = likely(i)
+            if not len(may):
+                continue
+            if not sets:
+                for texts in in_chunks(part.column("text").cast(pa.binary()).to_pylist()):
+                    sets += shingle_sets(texts)
+                owner = np.repeat(np.arange(size), [len(s) for s in sets])
+                flat = np.concatenate(sets)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
             lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
             length = hi - lo
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
             both = np.bincount(owner[at], minlength=size)
-            j = np.flatnonzero(likely[i] & (100 * both >= percent * (n[i] + n - both)))
-            left.append(np.full(len(j), i))
-            right.append(j)
+            j = may[100 * both[may] >= percent * (n[i] + n[may] - both[may])]
+            # One link to each component, which is row i's from here on.
+            reached, at = np.unique(root[j], return_index=True)
+            left.append(np.full(len(at), i))
+            right.append(j[at])
+            root[np.isin(root, reached)] = root[i]
         return first + np.concatenate(left), first + np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +234,7 @@ def _between_components(members: DataFrame, docs: DataFrame, percent: int) -> Da
     """Links ``a, b`` between classes that share a band and are not in one component yet."""
     split = written(members.groupBy("band").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"),
-        F.ceil(F.sum("a_n") / BLOCK_SHINGLES).cast("int").alias("parts")).where(
+        F.ceil(F.greatest(F.sum("a_n") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).cast("int").alias("parts")).where(
         "low != high and n > 2").select("band", "parts"), "split")
     rest = written(members.where("class_key != head").join(split, "band").withColumn(
         "chunk", F.pmod(F.xxhash64("a", F.lit(7)), F.col("parts")).cast("int")), "rest")

@@ -1,8 +1,10 @@
 """Near-duplicate texts and vectors, and the components below them, against all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import reference
@@ -46,6 +48,31 @@ def test_near_text_matches_all_pairs(spark, monkeypatch, block):
         i: (size[i], root[i], root[i] == i) for i in rows}
 
 
+def test_near_text_with_few_rows_a_block(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "BLOCK_ROWS", 5)
+    rows = _texts(3)
+    rows.update({1000 + i: f"one two three four five six seven eight {i}" for i in range(60)})
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows.items()], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicates(docs).collect()}
+    assert got == reference.near_components(rows)[1]
+
+
+def test_a_block_needs_no_square_of_its_rows():
+    n = 4000
+    texts = [f"one two three four five six seven eight {i}" for i in range(n)] + ["one two three four five six seven eight 0 x"]
+    zeros = [[0] * (near_text.BITS * near_text.MINIMA // 64)] * (n + 1)
+    batch = pa.RecordBatch.from_pydict({
+        "band": [1] * (n + 1), "lo": [0] * (n + 1), "hi": [0] * (n + 1), "chunk": [0] * (n + 1),
+        "a": [b"%06d" % i for i in range(n + 1)], "a_n": [5] * n + [6], "a_planes": zeros,
+        "root": list(range(n + 1)), "text": texts})
+    tracemalloc.start()
+    links = [x for b in near_text._compare(75)(iter([batch])) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [tuple(x.values()) for x in links] == [(b"%06d" % n, b"000000")]
+    assert peak < n * n, peak        # bytes of a matrix of flags
+
+
 def test_near_text_odd_rows(spark):
     text = "a b c d e f g"
     docs = spark.createDataFrame([(None, text, "x", 1), (5, text, "x", 1), (5, text, "x", 1), (7, None, "x", 1),
