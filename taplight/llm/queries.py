@@ -45,7 +45,7 @@ def op2_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+    return sharding.shard_and_read(_table(spark, sf_dir, "documents"))
 
 
 def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

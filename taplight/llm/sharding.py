@@ -14,10 +14,10 @@ into pages that fit. A single row over the limit is a shard of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_folder, written
 
 BITS, STEP = 60, 10
 LIMIT_BYTES = 1 << 20
@@ -90,8 +90,9 @@ def _name(depth: Column, prefix: Column) -> Column:
 
 
 def assign_shards(docs: DataFrame, key: str = "doc_id", content: str = "text",
-                  limit: int = LIMIT_BYTES) -> DataFrame:
-    """Per row: the key, ``n_bytes, shard, shard_depth, shard_bytes, shard_rows``.
+                  limit: int = LIMIT_BYTES, with_inner: bool = False) -> DataFrame:
+    """Per row: the key, ``n_bytes, shard, shard_depth, shard_bytes, shard_rows``; with
+    ``with_inner`` also ``inner``, the content hash, as ``write_shards`` needs it.
 
     A row's bytes are the UTF-8 length of ``content``; null counts as 0 and a null key as a
     key of its own. ``shard`` is the bucket's bit prefix; buckets of one key add ``.`` and bits
@@ -109,9 +110,9 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", content: str = "text",
     whole = (F.col("shard_bytes") <= limit) | ((F.col("kinds") == 1) & (F.col("copies") == 1))
     placed = written(placed, "placed")
     done = placed.where(whole)
-    hot = placed.where(~whole).select("k", "bytes", "copies", F.col("word").alias("grp"), F.col("inner").alias("word"),
+    hot = placed.where(~whole).select("k", "bytes", "copies", "inner", F.col("word").alias("grp"), F.col("inner").alias("word"),
                                       F.col("depth").alias("outer_depth"), F.col("shard").alias("outer"))
-    out = ["k", "bytes", "shard", "depth", "shard_bytes", "shard_rows"]
+    out = ["k", "bytes", "inner", "shard", "depth", "shard_bytes", "shard_rows"]
     result = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*out)
     if not hot.isEmpty():
         split = _find(hot, _leaves(hot, limit)).withColumn("depth", F.col("depth") + F.col("outer_depth")).withColumn(
@@ -123,17 +124,65 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", content: str = "text",
             "here", F.least(F.col("per"), F.col("copies") - F.col("page") * F.col("per")))
         cut = F.col("shard_bytes") > limit
         paged = paged.repartition("grp", "word", "page").select(
-            "k", "bytes", F.when(cut, F.concat("shard", F.lit("#"), "page")).otherwise(F.col("shard")).alias("shard"),
+            "k", "bytes", "inner", F.when(cut, F.concat("shard", F.lit("#"), "page")).otherwise(F.col("shard")).alias("shard"),
             "depth", F.when(cut, F.col("bytes") * F.col("here")).otherwise(F.col("shard_bytes")).alias("shard_bytes"),
             F.when(cut, F.col("here")).otherwise(F.col("shard_rows")).alias("shard_rows"),
             F.explode(F.sequence(F.lit(1).cast("long"), F.col("here"))).alias("copy"))
         result = result.union(paged.select(*out))
     return result.select(F.col("k").alias(key), F.col("bytes").alias("n_bytes"), "shard", F.col("depth").cast(
-        "long").alias("shard_depth"), "shard_bytes", "shard_rows")
+        "long").alias("shard_depth"), "shard_bytes", "shard_rows", *["inner"] * with_inner)
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes each shard's rows as one Parquet file below ``path/shard=...``. Keys must be unique."""
-    shards = assigned.select(F.col(key).alias("k_"), F.col("shard"))
-    docs.join(shards, F.col(key).eqNullSafe(F.col("k_"))).drop("k_").repartition("shard").write.partitionBy(
-        "shard").parquet(path)
+def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``nth_``, a number from 0 among the rows equal in ``by``.
+
+    Rows are numbered by partition and place, so no group has to meet in one task.
+    """
+    placed = written(rows.withColumn("part_", F.spark_partition_id()).withColumn(
+        "id_", F.monotonically_increasing_id()), "numbered")
+    part = placed.groupBy(*by, "part_").agg(F.count("*").alias("n_"))
+    before = part.withColumn("before_", F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy(
+        "part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(
+        *[F.col(c).alias(f"{c}b_") for c in by], F.col("part_").alias("partb_"), "before_")
+    inside = Window.partitionBy(*by, "part_").orderBy("id_")
+    same = (F.col("part_") == F.col("partb_"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}b_"))
+    return placed.withColumn("in_", F.row_number().over(inside)).join(before, same).withColumn(
+        "nth_", F.col("before_") + F.col("in_") - 1).drop("part_", "id_", "in_", "before_", "partb_", *[
+            f"{c}b_" for c in by])
+
+
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id", content: str = "text") -> None:
+    """Writes each shard's rows as one Parquet file below ``path/shard=...``, every row once.
+
+    ``assigned`` is the result of ``assign_shards`` on the same rows. With ``with_inner`` a row takes
+    the place of its key, bytes, content hash and number among the rows equal in them. Without,
+    rows of one key and size take each other's places: sizes hold, content hash bits may not.
+    """
+    inner = hash_bits(F.coalesce(F.concat(F.lit("t"), F.col(content)), F.lit("n")))
+    by = ["key_", "bytes_", *["inner_"] * ("inner" in assigned.columns)]
+    rows = _numbered(docs.withColumns({
+        "key_": F.col(key), "bytes_": F.coalesce(F.octet_length(content), F.lit(0)).cast("long"), "inner_": inner}), by)
+    places = _numbered(assigned.select(F.col(key).alias("key_"), F.col("n_bytes").alias("bytes_"),
+                                       *[F.col("inner").alias("inner_")] * (len(by) == 3), "shard"), by)
+    places = places.select(*[F.col(c).alias(f"{c}p") for c in by], F.col("nth_").alias("nth_p"), "shard")
+    same = F.col("nth_") == F.col("nth_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}p"))
+    rows.join(places, same).select(*docs.columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+def shard_and_read(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
+    """The columns of ``assign_shards`` for ``docs(doc_id, text)``, counted in the written shards."""
+    path = shared_folder(docs.sparkSession, "shards")
+    rows = docs.select("doc_id", "text")
+    write_shards(rows, assign_shards(rows, limit=limit, with_inner=True), path)
+    # The schema keeps shard names such as 0101 from being read as numbers; the empty name comes as null.
+    back = docs.sparkSession.read.schema(f"{rows.schema['doc_id'].simpleString().replace(':', ' ')}, text string, shard string"
+                                         ).parquet(path).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(
+                                             0)).cast("long").alias("n_bytes"), F.coalesce("shard", F.lit("")).alias("shard"))
+    sums = back.groupBy(F.col("shard").alias("s_")).agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    bits = F.regexp_replace(F.regexp_replace("shard", "#.*", ""), "[.]", "")
+    return back.join(sums, F.col("shard") == F.col("s_")).select(
+        "doc_id", "n_bytes", "shard", F.char_length(bits).cast("long").alias("shard_depth"), "shard_bytes", "shard_rows")

@@ -101,6 +101,19 @@ def test_written_shards_read_back(spark, tmp_path):
     assert all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
 
 
+def test_hot_and_repeated_rows_are_written_once(spark, tmp_path):
+    rows = [(7, "é" * (i % 9) + f"text {i}") for i in range(200)] + [(7, "same")] * 300 + [(8, "x" * 40)] * 50
+    rows += [(i, f"t{i}") for i in range(20, 60)] + [(None, "n"), (None, None), (9, "z" * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = sharding.assign_shards(docs, limit=300)
+    assert sorted(map(tuple, sharding.shard_and_read(docs, 300).collect()), key=str) == sorted(
+        map(tuple, want.collect()), key=str)
+    for name, inner in (("a", True), ("b", False)):
+        sharding.write_shards(docs, sharding.assign_shards(docs, limit=300, with_inner=inner), str(tmp_path / name))
+        back = spark.read.schema("doc_id long, text string, shard string").parquet(str(tmp_path / name))
+        assert sorted(map(tuple, back.select("doc_id", "text").collect()), key=str) == sorted(rows, key=str)
+
+
 def _pages():
     rng = random.Random(9)
     long = ["é" * 60 + str(i) for i in range(5)]
