@@ -116,8 +116,8 @@ _KEEP = _DRAW.format(what="keep", i="")
 
 
 @query("packet_loss_resample", f"""WITH c AS (SELECT *, [start_time + i*(duration_seconds/(packet_count-1))
-      for i in range(packet_count)] AS ts FROM slow_v, (VALUES (0.0::DOUBLE), (0.2::DOUBLE)) l(loss),
-      (VALUES (0), (1)) t(trial)),
+      for i in range(packet_count)] AS ts FROM slow_v, unnest([0.0, 0.01, 0.02, 0.05, 0.1, 0.2]::DOUBLE[]) l(loss),
+      range(5) t(trial)),
   k AS (SELECT *, [i for i in range(packet_count) if {_PACKET} >= loss] AS drawn FROM c),
   kept AS (SELECT *, CASE WHEN len(drawn) > 0 THEN drawn
       ELSE [CAST(floor({_KEEP}*packet_count) AS BIGINT)] END AS ks FROM k)
