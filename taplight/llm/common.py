@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,28 @@ def group_sizes(rows: pa.Table, keys: list[str]) -> tuple[list[int], list[int]]:
     return first, [b - a for a, b in zip(first, first[1:] + [n])]
 
 
+def ordered_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Each group of equal keys of sorted rows, whole. Keys are not null."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if rest is not None:
+            rows = pa.concat_tables([rest, rows])
+        rows, n = rows.combine_chunks(), rows.num_rows
+        if not n:
+            continue
+        new = np.zeros(n - 1, dtype=bool)
+        for k in keys:
+            column = rows.column(k)
+            new |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy()
+        first = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for lo, hi in zip(first, first[1:]):
+            yield rows.slice(lo, hi - lo)
+        rest = rows.slice(first[-1])
+    if rest is not None:
+        yield rest
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest row that the links i - j reach, for each of n rows."""
     root = np.arange(n)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, near_text, pii, secret_scan, sharding, sql, url_lists, vector_links, warc
+from . import byte_bpe, decontaminate, language, near_text, pii, secret_scan, sharding, spelling, sql, url_lists, vector_links, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan,
@@ -72,7 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_temporal_url_filter,
         op8_byte_bpe,
         op9_extendible_sharding,
-        op10_warc_capture_index)}
+        op10_warc_capture_index,
+        op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -84,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_temporal_url_filter": sql.URL_FILTER,
         "op9_extendible_sharding": sql.SHARDING,
         "op10_warc_capture_index": sql.WARC,
+        "op13_spelling_variants": sql.SPELLING,
     }

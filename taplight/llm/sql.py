@@ -170,3 +170,32 @@ f AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
     sha256(coalesce(fixed, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random
 FROM d LEFT JOIN f USING (doc_id)"""
+
+# CRC-32 byte by byte: a byte is mixed in, then eight steps (-1) divide by the polynomial.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({s}, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch), -1, -1, -1, -1, -1, -1, -1, -1]
+      ELSE [192 + (unicode(ch) >> 6), -1, -1, -1, -1, -1, -1, -1, -1, 128 + (unicode(ch) & 63), -1, -1, -1, -1, -1,
+            -1, -1, -1] END))),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END),
+  4294967295)"""
+
+# Near words of one length share a word with one place blanked; of two lengths, with one place left out.
+SPELLING = f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+h AS (SELECT run, count(*) AS k, {_CRC32.format(s="doc_id::VARCHAR || ':' || run")} AS h
+      FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN run[:h % length(run)] ||
+        run[h % length(run) + 2:] ELSE run END AS word FROM h) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+p AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+c AS (SELECT word, n, word[:i] || '_' || word[i + 2:] AS blank, word[:i] || word[i + 2:] AS cut FROM p),
+e AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.blank = b.blank AND a.word <> b.word
+      UNION SELECT a.word, a.n, b.word, b.n FROM c a JOIN w b ON a.cut = b.word
+      UNION SELECT b.word, b.n, a.word, a.n FROM c a JOIN w b ON a.cut = b.word),
+g AS (SELECT word, count(*) AS n_near, arg_min(near, {{'m': -near_n, 'w': encode(near)}}) AS near, max(near_n) AS near_n
+      FROM e GROUP BY 1),
+f AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+        CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM w LEFT JOIN g USING (word)),
+s AS (SELECT word, word AS root FROM f WHERE form IS NULL
+      UNION ALL SELECT f.word, s.root FROM f JOIN s ON f.form = s.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN s USING (word)"""
