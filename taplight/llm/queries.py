@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, near_text, pieces, pii, secret_scan, sharding, spelling, sql, url_lists, vector_links, warc
+from . import byte_bpe, decontaminate, language, lexical, near_text, pieces, pii, secret_scan, sharding, spelling, sql, url_lists, vector_links, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_extendible_sharding,
         op10_warc_capture_index,
         op11_sentence_pieces,
+        op12_ranked_search,
         op13_spelling_variants)}
 
 
@@ -94,5 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_temporal_url_filter": sql.URL_FILTER,
         "op9_extendible_sharding": sql.SHARDING,
         "op10_warc_capture_index": sql.WARC,
+        "op12_ranked_search": sql.RANKED_SEARCH,
         "op13_spelling_variants": sql.SPELLING,
     }

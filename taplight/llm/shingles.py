@@ -44,15 +44,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte position of each run of bytes other than space and 9 to 13.
+def word_hashes(data: bytes, member: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte position of each run of bytes that ``member`` marks: by default all
+    but space and 9 to 13.
 
     A-Z count as a-z. A word's hash is a polynomial over its bytes with random byte values.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = ~_SPACE[raw]
+    inside = member[raw]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     first, last = edge[::2], edge[1::2]
     up, down = _POWERS.upto(len(raw) + 1)

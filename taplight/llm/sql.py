@@ -199,3 +199,18 @@ f AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n
 s AS (SELECT word, word AS root FROM f WHERE form IS NULL
       UNION ALL SELECT f.word, s.root FROM f JOIN s ON f.form = s.word)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN s USING (word)"""
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+RANKED_SEARCH = f"""
+WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY 1),
+c AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM d),
+m AS (SELECT doc_id, 50 + (50 * n * big_n) // big_l AS m FROM d, c),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, big_n),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50"""
