@@ -229,7 +229,7 @@ class Pieces:
         has_behind = behind < len(symbol)
         has_behind[has_behind] = segment[behind[has_behind]] == segment[at[has_behind]]
         # The left neighbour may itself be the outcome of the occurrence before.
-        last = np.where(maybe > 0, chosen[maybe - 1], -9)
+        last = chosen[np.maximum(maybe - 1, 0)]
         left = np.where(last == at - 2, made[last], symbol[before])
         opened = np.full(len(at), _NONE, dtype=np.int32)
         opened[has_before] = self._ranks(self._pairs(left[has_before], new[has_before]))
