@@ -7,16 +7,21 @@ is a token costs one lookup and one comparison. Other pieces are merged from sin
 a heap holds the mergeable neighbours by rank and position, bytes form a linked list, and
 stale heap entries are skipped, so a piece of n bytes takes n log n steps.
 
-Each task resolves the distinct pieces of a slice of texts together and remembers up to
-``REMEMBERED`` of them. The tables are as large as the vocabulary file and broadcast.
+A text is first cut at single spaces between other characters, where every piece ends whatever
+stands around. Each task resolves the distinct chunks of a slice of texts together and
+remembers up to ``REMEMBERED`` of them. The tables are as large as the vocabulary file and
+broadcast.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Recent
 from .shingles import mix
 
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 SLICE = 1_000_000
 _LOAD = 4
+_CUT, _UNEVEN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^\s| \s|\s |\s$")
 
 
 class Vocabulary:
@@ -40,7 +47,7 @@ class Vocabulary:
         self.tokens = [tokens[i] for i in order]
         self.ranks = np.asarray(ranks, dtype=np.uint32)[order]
         self._place(np.array([xxhash.xxh3_64_intdigest(t) for t in self.tokens], dtype=np.uint64))
-        self._memo: dict[bytes, bytes] | None = None
+        self._chunks: Recent | None = None
 
     @classmethod
     @functools.cache
@@ -97,96 +104,120 @@ class Vocabulary:
         return [i if self.tokens[i] == p else -1 for i, p in zip(at.tolist(), pieces)]
 
     def _start(self) -> None:
-        self._memo = {}
-        self._rank = {t: i for i, t in enumerate(self.tokens)}
+        self._chunks, self._pieces = Recent(REMEMBERED), Recent(REMEMBERED)
         self._code = [int(r).to_bytes(4, "little") for r in self.ranks]
         self._bytes = dict(zip(self.ranks.tolist(), self.tokens))
+        index = {t: i for i, t in enumerate(self.tokens)}
+        self._byte = [index.get(bytes([b])) for b in range(256)]
+        # What two neighbouring tokens make: each split of a token into two tokens.
+        self._pair = {}
+        for token, i in index.items():
+            for k in range(1, len(token)):
+                left, right = index.get(token[:k]), index.get(token[k:])
+                if left is not None and right is not None:
+                    self._pair[left << 32 | right] = i
 
-    def resolve(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+    def _resolved(self, pieces: list[str]) -> Iterator[bytes]:
         """Packed ids of pieces, by whole-piece lookup first and merging second."""
-        if self._memo is None:
+        raw = [p.encode() for p in pieces]
+        code = self._code.__getitem__
+        for piece, at in zip(raw, self.find(raw)):
+            yield self._code[at] if at >= 0 else b"".join(map(code, self._merge(piece)))
+
+    def _joined(self, chunks: list[str], pieces: regex.Pattern) -> Iterator[bytes]:
+        """Packed ids of chunks. A chunk stands behind a space, or behind nothing if it begins with one."""
+        cut = [pieces.findall(c[1:] if c[0] == " " else " " + c) for c in chunks]
+        known = self._pieces.filled(set().union(*cut), self._resolved)
+        return (b"".join(map(known.__getitem__, c)) for c in cut)
+
+    def _long(self, text: str, pieces: regex.Pattern) -> Iterator[bytes]:
+        """Packed ids of a text, a bounded number of pieces at a time."""
+        found = (m.group() for m in pieces.finditer(text))
+        while part := list(islice(found, REMEMBERED)):
+            known = self._pieces.filled(set(part), self._resolved)
+            yield b"".join(map(known.__getitem__, part))
+
+    def packed(self, texts: list[str], pieces: regex.Pattern) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if self._chunks is None:
             self._start()
-        new = [p for p in pieces if p not in self._memo]
-        if len(self._memo) + len(new) > REMEMBERED:
-            self._memo, new = {}, list(pieces)
-        if new:
-            for piece, at in zip(new, self.find(new)):
-                self._memo[piece] = self._code[at] if at >= 0 else b"".join(
-                    self._code[i] for i in self._merge(piece))
-        return self._memo
+        for some in _slices(texts):
+            if len(some[0]) > SLICE:
+                yield b"".join(self._long(some[0], pieces))
+                continue
+            cut = [_chunks(t) for t in some]
+            known = self._chunks.filled(set().union(*cut), lambda new: self._joined(new, pieces))
+            for chunks in cut:
+                yield b"".join(map(known.__getitem__, chunks))
 
     def _merge(self, piece: bytes) -> list[int]:
-        rank, n = self._rank, len(piece)
-        part: list = [piece[i: i + 1] for i in range(n)]
+        pair, n = self._pair.get, len(piece)
+        part = [self._byte[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            r = rank.get(piece[i: i + 2])
-            if r is not None:
-                heap.append((r, i, piece[i: i + 2]))
+        # A heap entry is a token and the place of its left part, in one number.
+        heap = [made << 32 | i for i in range(n - 1) if (made := pair(part[i] << 32 | part[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, made = heapq.heappop(heap)
-            left = part[i]
+            entry = heapq.heappop(heap)
+            made, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if left is None or j >= n or len(left) + len(part[j]) != len(made):
+            if j >= n or part[i] is None or pair(part[i] << 32 | part[j]) != made:
                 continue  # one of the two has been merged meanwhile
             part[i], part[j] = made, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                r = rank.get(made + part[k])
-                if r is not None:
-                    heapq.heappush(heap, (r, i, made + part[k]))
+                new = pair(made << 32 | part[k])
+                if new is not None:
+                    heapq.heappush(heap, new << 32 | i)
             h = before[i]
             if h >= 0:
-                r = rank.get(part[h] + made)
-                if r is not None:
-                    heapq.heappush(heap, (r, h, part[h] + made))
-        return [rank[p] for p in part if p is not None]
+                new = pair(part[h] << 32 | made)
+                if new is not None:
+                    heapq.heappush(heap, new << 32 | h)
+        return [p for p in part if p is not None]
 
     def decode(self, ids: bytes) -> bytes:
-        if self._memo is None:
+        if self._chunks is None:
             self._start()
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _packed(text: str, pieces: regex.Pattern, vocabulary: Vocabulary) -> bytes:
-    """Ids of one long text, a bounded number of pieces at a time."""
-    out, part, size = [], [], 0
-    for m in pieces.finditer(text):
-        part.append(m.group().encode())
-        size += len(part[-1])
-        if size >= SLICE:
-            known = vocabulary.resolve(set(part))
-            out.append(b"".join([known[p] for p in part]))
-            part, size = [], 0
-    known = vocabulary.resolve(set(part))
-    return b"".join(out) + b"".join([known[p] for p in part])
+def _chunks(text: str) -> list[str]:
+    """The text cut at single spaces between characters that are no white space, which are left
+    out. The first chunk is marked by one more space in front."""
+    if not text:
+        return []
+    parts = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+    parts[0] = " " + parts[0]
+    return parts
+
+
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of ``SLICE`` characters together; a longer text is alone."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > SLICE:
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield texts[start:]
+
+
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
+
 
+def _run(rows: DataFrame, path: str, schema: str, made) -> DataFrame:
+    """First column of ``rows`` and what ``made`` gives for the vocabulary and the second."""
+    shipped = rows.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    names = [part.split()[0] for part in schema.split(", ")]
 
-def _encode(shipped, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pieces = shipped.value, regex.compile(pattern)
         for batch in batches:
-            made: list[bytes] = []
-            waiting: list[list[bytes]] = []
-            size = 0
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                if size + len(text) > SLICE and waiting:
-                    known = vocabulary.resolve(set().union(*waiting))
-                    made += [b"".join([known[p] for p in w]) for w in waiting]
-                    waiting, size = [], 0
-                if len(text) > SLICE:
-                    made.append(_packed(text, pieces, vocabulary))
-                else:
-                    waiting.append([p.encode() for p in pieces.findall(text)])
-                    size += len(text)
-            known = vocabulary.resolve(set().union(*waiting))
-            made += [b"".join([known[p] for p in w]) for w in waiting]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "ids"])
-    return run
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made(shipped.value, batch.column(1))], names=names)
+    return rows.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -197,21 +228,35 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     encoded apart. There are no special tokens; null and empty texts give no ids. Rows are
     independent, so repeated or null doc_ids stay as they are; other columns are ignored.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _encode(shipped, pattern), "doc_id long, ids binary")
+    cut = regex.compile(pattern)
+    return _run(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, "doc_id long, ids binary",
+                lambda v, column: [pa.array(list(v.packed(_texts(column), cut)), pa.binary())])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded(doc_id, ids)`` with a column ``decoded``: the tokens' bytes. Null ids: empty."""
-    shipped = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
+    return _run(encoded.select("doc_id", "ids"), path, "doc_id long, ids binary, decoded binary",
+                lambda v, column: [column, pa.array([v.decode(i or b"") for i in column.to_pylist()], pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shipped.value.decode(v.as_py() or b"") for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "ids", "decoded"])
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row of ``docs(doc_id, text)``: count
+    and digest of ``encode``'s ids, and digest of the bytes that ``decode`` gives back for them.
+
+    The same as both one after the other, in one pass. Nulls and repeats as in ``encode``.
+    """
+    cut = regex.compile(pattern)
+
+    def made(vocabulary: Vocabulary, column: pa.Array) -> list[pa.Array]:
+        n, ids, back = [], [], []
+        for packed in vocabulary.packed(_texts(column), cut):
+            n.append(len(packed) // 4)
+            ids.append(hashlib.sha256(packed).hexdigest())
+            back.append(hashlib.sha256(vocabulary.decode(packed)).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+
+    return _run(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path,
+                "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", made)
 
 
 def ids_array(ids: Column) -> Column:

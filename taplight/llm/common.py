@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +111,29 @@ def ordered_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterat
         yield rest
 
 
+class Recent:
+    """Values of the keys that were used last: ``size`` of them at least, twice as many at most."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def filled(self, keys: set, make: Callable[[list], Iterable]) -> dict:
+        """A dict with the values of ``keys`` and others; ``make`` gives those of unknown keys."""
+        new = [k for k in keys if k not in self.young]
+        if len(self.young) + len(new) > self.size:
+            self.old, self.young, new = self.young, {}, list(keys)
+        unknown = []
+        for k in new:
+            value = self.old.get(k)
+            if value is None:
+                unknown.append(k)
+            else:
+                self.young[k] = value
+        if unknown:
+            self.young.update(zip(unknown, make(unknown)))
+        return self.young
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest row that the links i - j reach, for each of n rows."""
     root = np.arange(n)

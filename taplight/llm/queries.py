@@ -24,11 +24,8 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, path).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), public_tokenizers.path(
+        "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
