@@ -42,7 +42,7 @@ def op2_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_and_read(_table(spark, sf_dir, "documents"))
+    return sharding.shard_and_read(_table(spark, sf_dir, "documents"), limit=1 << 20)
 
 
 def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ that occur below its first ``STEP`` bits.
 Rows with one key share all 60 bits, so a key over the limit splits further on 60 bits of a
 content hash. Rows equal in both are interchangeable: they are counted, and their count is cut
 into pages that fit. A single row over the limit is a shard of its own.
+
+Writing looks each row up in the directory, which has a row a shard, and sends it to its shard:
+one shuffle of whole rows. Only rows on pages are numbered first.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import shared_folder, written
 
 BITS, STEP = 60, 10
-LIMIT_BYTES = 1 << 20
+LIMIT_BYTES = 128 << 20
+#: Directories of so many rows at most (some 50 bytes each) are sent to every task.
+FEW = 300_000
 
 
 def hash_bits(value: Column) -> Column:
@@ -89,10 +94,39 @@ def _name(depth: Column, prefix: Column) -> Column:
     return F.when(depth == 0, "").otherwise(F.lpad(F.conv(prefix.cast("string"), 10, 2), depth, "0"))
 
 
-def assign_shards(docs: DataFrame, key: str = "doc_id", content: str = "text",
-                  limit: int = LIMIT_BYTES, with_inner: bool = False) -> DataFrame:
-    """Per row: the key, ``n_bytes, shard, shard_depth, shard_bytes, shard_rows``; with
-    ``with_inner`` also ``inner``, the content hash, as ``write_shards`` needs it.
+def _key_word(key: str) -> Column:
+    return hash_bits(F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n")))
+
+
+def _content_word(content: str) -> Column:
+    return hash_bits(F.coalesce(F.concat(F.lit("t"), F.col(content)), F.lit("n")))
+
+
+def _size(content: str) -> Column:
+    return F.coalesce(F.octet_length(content), F.lit(0)).cast("long")
+
+
+def _directory(docs: DataFrame, key: str, content: str, limit: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """The leaves, the distinct rows in those that end there, the rows of hot keys, and the
+    leaves by content hash of the latter, if there are any."""
+    rows = docs.select(F.col(key).alias("k"), _size(content).alias("bytes"), _key_word(key).alias("word"),
+                       _content_word(content).alias("inner")).groupBy(
+        "k", "bytes", "word", "inner").agg(F.count("*").alias("copies"))
+    rows = written(rows.withColumn("grp", F.lit(0).cast("long")), "rows")
+    leaves = _leaves(rows, limit)
+    placed = written(_find(rows, leaves).withColumn("shard", _name(F.col("depth"), F.col("prefix"))), "placed")
+    whole = (F.col("shard_bytes") <= limit) | ((F.col("kinds") == 1) & (F.col("copies") == 1))
+    hot = placed.where(~whole).select("k", "bytes", "copies", "inner", F.col("word").alias("grp"), F.col("inner").alias("word"),
+                                      F.col("depth").alias("outer_depth"), F.col("shard").alias("outer"))
+    return leaves, placed.where(whole), hot, None if hot.isEmpty() else _leaves(hot, limit)
+
+
+def _per_page(limit: int, n_bytes: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), n_bytes)))
+
+
+def assign_shards(docs: DataFrame, key: str = "doc_id", content: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
+    """Per row: the key, ``n_bytes, shard, shard_depth, shard_bytes, shard_rows``.
 
     A row's bytes are the UTF-8 length of ``content``; null counts as 0 and a null key as a
     key of its own. ``shard`` is the bucket's bit prefix; buckets of one key add ``.`` and bits
@@ -100,41 +134,29 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", content: str = "text",
     unless it is one single row. Equal rows are dealt out to pages in any order, as they can't
     be told apart. Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(
-        F.col(key).alias("k"), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("bytes"),
-        hash_bits(F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))).alias("word"),
-        hash_bits(F.coalesce(F.concat(F.lit("t"), F.col(content)), F.lit("n"))).alias("inner")).groupBy(
-        "k", "bytes", "word", "inner").agg(F.count("*").alias("copies"))
-    rows = written(rows.withColumn("grp", F.lit(0).cast("long")), "rows")
-    placed = _find(rows, _leaves(rows, limit)).withColumn("shard", _name(F.col("depth"), F.col("prefix")))
-    whole = (F.col("shard_bytes") <= limit) | ((F.col("kinds") == 1) & (F.col("copies") == 1))
-    placed = written(placed, "placed")
-    done = placed.where(whole)
-    hot = placed.where(~whole).select("k", "bytes", "copies", "inner", F.col("word").alias("grp"), F.col("inner").alias("word"),
-                                      F.col("depth").alias("outer_depth"), F.col("shard").alias("outer"))
-    out = ["k", "bytes", "inner", "shard", "depth", "shard_bytes", "shard_rows"]
+    _, done, hot, inner = _directory(docs, key, content, limit)
+    out = ["k", "bytes", "shard", "depth", "shard_bytes", "shard_rows"]
     result = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*out)
-    if not hot.isEmpty():
-        split = _find(hot, _leaves(hot, limit)).withColumn("depth", F.col("depth") + F.col("outer_depth")).withColumn(
+    if inner is not None:
+        split = _find(hot, inner).withColumn("depth", F.col("depth") + F.col("outer_depth")).withColumn(
             "shard", F.concat("outer", F.lit("."), _name(F.col("depth") - F.col("outer_depth"), F.col("prefix"))))
-        per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("bytes"))))
         paged = split.withColumn("per", F.when(F.col("shard_bytes") <= limit, F.col("copies")).otherwise(
-            per)).withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(
+            _per_page(limit, F.col("bytes")))).withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(
                 F.col("copies") / F.col("per")) - 1))).withColumn(
             "here", F.least(F.col("per"), F.col("copies") - F.col("page") * F.col("per")))
         cut = F.col("shard_bytes") > limit
         paged = paged.repartition("grp", "word", "page").select(
-            "k", "bytes", "inner", F.when(cut, F.concat("shard", F.lit("#"), "page")).otherwise(F.col("shard")).alias("shard"),
+            "k", "bytes", F.when(cut, F.concat("shard", F.lit("#"), "page")).otherwise(F.col("shard")).alias("shard"),
             "depth", F.when(cut, F.col("bytes") * F.col("here")).otherwise(F.col("shard_bytes")).alias("shard_bytes"),
             F.when(cut, F.col("here")).otherwise(F.col("shard_rows")).alias("shard_rows"),
             F.explode(F.sequence(F.lit(1).cast("long"), F.col("here"))).alias("copy"))
         result = result.union(paged.select(*out))
     return result.select(F.col("k").alias(key), F.col("bytes").alias("n_bytes"), "shard", F.col("depth").cast(
-        "long").alias("shard_depth"), "shard_bytes", "shard_rows", *["inner"] * with_inner)
+        "long").alias("shard_depth"), "shard_bytes", "shard_rows")
 
 
 def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` with ``nth_``, a number from 0 among the rows equal in ``by``.
+    """``rows`` with ``nth_``, a number from 0 among the rows equal in ``by``, which are not null.
 
     Rows are numbered by partition and place, so no group has to meet in one task.
     """
@@ -142,42 +164,81 @@ def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
         "id_", F.monotonically_increasing_id()), "numbered")
     part = placed.groupBy(*by, "part_").agg(F.count("*").alias("n_"))
     before = part.withColumn("before_", F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy(
-        "part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(
-        *[F.col(c).alias(f"{c}b_") for c in by], F.col("part_").alias("partb_"), "before_")
+        "part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
     inside = Window.partitionBy(*by, "part_").orderBy("id_")
-    same = (F.col("part_") == F.col("partb_"))
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}b_"))
-    return placed.withColumn("in_", F.row_number().over(inside)).join(before, same).withColumn(
-        "nth_", F.col("before_") + F.col("in_") - 1).drop("part_", "id_", "in_", "before_", "partb_", *[
-            f"{c}b_" for c in by])
+    return placed.withColumn("in_", F.row_number().over(inside)).join(before, [*by, "part_"]).withColumn(
+        "nth_", F.col("before_") + F.col("in_") - 1).drop("part_", "id_", "in_", "before_")
+
+
+def _cells(leaves: DataFrame, bits: Column) -> DataFrame:
+    """``leaves`` a row for each prefix of ``bits`` bits (``cell``) that they cover or lie in, with
+    the range of words from ``lo`` to below ``hi``."""
+    deeper = (F.greatest(F.col("depth"), bits) - bits).cast("int")
+    wider = (bits - F.least(F.col("depth"), bits)).cast("int")
+    free = (F.lit(BITS) - F.col("depth")).cast("int")
+    left = lambda word, n: F.call_function("shiftleft", word, n)
+    cells = F.when(wider > 0, F.sequence(left(F.col("prefix"), wider), left(F.col("prefix") + 1, wider) - 1)).otherwise(
+        F.array(F.call_function("shiftright", F.col("prefix"), deeper)))
+    return leaves.withColumns({"cell": F.explode(cells), "lo": left(F.col("prefix"), free),
+                               "hi": left(F.col("prefix") + 1, free)})
+
+
+def _sent(leaves: DataFrame) -> DataFrame:
+    """To be broadcast where it is small; else Spark joins it by a shuffle of the rows."""
+    return F.broadcast(leaves) if leaves.count() <= FEW else leaves
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id", content: str = "text") -> None:
-    """Writes each shard's rows as one Parquet file below ``path/shard=...``, every row once.
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", content: str = "text", limit: int = LIMIT_BYTES) -> None:
+    """Writes the rows of ``docs`` to the shards that ``assign_shards`` names, each one Parquet file
+    below ``path/shard=...``, every row with all its columns once.
 
-    ``assigned`` is the result of ``assign_shards`` on the same rows. With ``with_inner`` a row takes
-    the place of its key, bytes, content hash and number among the rows equal in them. Without,
-    rows of one key and size take each other's places: sizes hold, content hash bits may not.
+    If ``docs`` has a column ``shard``, the folders are named ``shard_=...``. Equal rows take
+    their pages in any order.
     """
-    inner = hash_bits(F.coalesce(F.concat(F.lit("t"), F.col(content)), F.lit("n")))
-    by = ["key_", "bytes_", *["inner_"] * ("inner" in assigned.columns)]
-    rows = _numbered(docs.withColumns({
-        "key_": F.col(key), "bytes_": F.coalesce(F.octet_length(content), F.lit(0)).cast("long"), "inner_": inner}), by)
-    places = _numbered(assigned.select(F.col(key).alias("key_"), F.col("n_bytes").alias("bytes_"),
-                                       *[F.col("inner").alias("inner_")] * (len(by) == 3), "shard"), by)
-    places = places.select(*[F.col(c).alias(f"{c}p") for c in by], F.col("nth_").alias("nth_p"), "shard")
-    same = F.col("nth_") == F.col("nth_p")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}p"))
-    rows.join(places, same).select(*docs.columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    leaves, _, hot, inner = _directory(docs, key, content, limit)
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), _key_word(key).alias("word_"), _content_word(content).alias(
+        "inner_"), _size(content).alias("bytes_"))
+    bits = F.lit(leaves.count().bit_length())
+    outer = _cells(leaves, bits).select("cell", "lo", "hi", _name(F.col("depth"), F.col("prefix")).alias("shard"),
+                                        "depth", "prefix")
+    if inner is None:
+        outer = outer.withColumn("grp", F.lit(None).cast("long"))
+    else:
+        heads = hot.select("grp", "outer_depth").distinct().select("grp", F.col("outer_depth").alias("d"), _prefix(
+            F.col("grp"), F.col("outer_depth")).alias("p"))
+        outer = outer.join(heads, (F.col("depth") == F.col("d")) & (F.col("prefix") == F.col("p")), "left").drop("d", "p")
+    outer = written(outer.drop("depth", "prefix"), "outer")
+    found = rows.join(_sent(outer), (_prefix(F.col("word_"), bits) == F.col("cell")) & (F.col("word_") >= F.col("lo")) & (
+        F.col("word_") < F.col("hi"))).drop("cell", "lo", "hi")
+    sent = found.where("grp is null").select("row_", "shard")
+    if inner is not None:
+        width = inner.groupBy("grp").agg(F.ceil(F.log2(F.count("*") + 1)).cast("int").alias("bits"))
+        parts = written(_cells(inner.join(width, "grp"), F.col("bits")).select(
+            F.col("grp").alias("g"), "bits", "cell", "lo", "hi", _name(F.col("depth"), F.col("prefix")).alias("inside"),
+            (F.col("shard_bytes") > limit).alias("paged")), "inner")
+        wide = parts.select(F.col("g").alias("w"), "bits").distinct()
+        deep = found.where("grp is not null").join(_sent(wide), F.col("grp") == F.col("w")).withColumn(
+            "at_", _prefix(F.col("inner_"), F.col("bits"))).drop("w", "bits")
+        deep = deep.join(_sent(parts.drop("bits")), (F.col("grp") == F.col("g")) & (F.col("at_") == F.col("cell")) & (
+            F.col("inner_") >= F.col("lo")) & (F.col("inner_") < F.col("hi"))).withColumn(
+            "shard", F.concat("shard", F.lit("."), "inside"))
+        sent = sent.union(deep.where("not paged").select("row_", "shard"))
+        if not parts.where("paged").isEmpty():
+            page = F.floor(F.col("nth_") / _per_page(limit, F.col("bytes_"))).cast("long")
+            paged = _numbered(deep.where("paged").select("row_", "shard", "word_", "inner_", "bytes_"), [
+                "word_", "inner_", "bytes_"])
+            sent = sent.union(paged.select("row_", F.concat("shard", F.lit("#"), page).alias("shard")))
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    sent.withColumnRenamed("shard", name).repartition(name).select("row_.*", name).write.partitionBy(name).parquet(path)
 
 
 def shard_and_read(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """The columns of ``assign_shards`` for ``docs(doc_id, text)``, counted in the written shards."""
     path = shared_folder(docs.sparkSession, "shards")
     rows = docs.select("doc_id", "text")
-    write_shards(rows, assign_shards(rows, limit=limit, with_inner=True), path)
+    write_shards(rows, path, limit=limit)
     # The schema keeps shard names such as 0101 from being read as numbers; the empty name comes as null.
     back = docs.sparkSession.read.schema(f"{rows.schema['doc_id'].simpleString().replace(':', ' ')}, text string, shard string"
                                          ).parquet(path).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(

@@ -1,5 +1,6 @@
 """URL lists, sharding and archives against plain Python; SQL checks; the pipeline."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -93,7 +94,7 @@ def test_shards_fit_and_cover(spark):
 def test_written_shards_read_back(spark, tmp_path):
     docs = spark.createDataFrame([(i, "t" * 50) for i in range(100)], "doc_id long, text string")
     assigned = sharding.assign_shards(docs, limit=900)
-    sharding.write_shards(docs, assigned, str(tmp_path / "shards"))
+    sharding.write_shards(docs, str(tmp_path / "shards"), limit=900)
     back = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "shards"))
     assert back.count() == 100
     folders = list((tmp_path / "shards").glob("shard=*"))
@@ -101,17 +102,59 @@ def test_written_shards_read_back(spark, tmp_path):
     assert all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
 
 
-def test_hot_and_repeated_rows_are_written_once(spark, tmp_path):
+def test_hot_and_repeated_rows_are_written_once(spark, tmp_path, monkeypatch):
     rows = [(7, "é" * (i % 9) + f"text {i}") for i in range(200)] + [(7, "same")] * 300 + [(8, "x" * 40)] * 50
     rows += [(i, f"t{i}") for i in range(20, 60)] + [(None, "n"), (None, None), (9, "z" * 2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    want = sharding.assign_shards(docs, limit=300)
     assert sorted(map(tuple, sharding.shard_and_read(docs, 300).collect()), key=str) == sorted(
-        map(tuple, want.collect()), key=str)
-    for name, inner in (("a", True), ("b", False)):
-        sharding.write_shards(docs, sharding.assign_shards(docs, limit=300, with_inner=inner), str(tmp_path / name))
-        back = spark.read.schema("doc_id long, text string, shard string").parquet(str(tmp_path / name))
-        assert sorted(map(tuple, back.select("doc_id", "text").collect()), key=str) == sorted(rows, key=str)
+        _extendible([(i, t) for i, t in rows], 300), key=str)
+    for few in (0, sharding.FEW):   # directories joined by shuffle and by broadcast
+        monkeypatch.setattr(sharding, "FEW", few)
+        wide = docs.withColumn("shard", docs["text"])
+        sharding.write_shards(wide, str(tmp_path / str(few)), limit=300)
+        back = spark.read.schema("doc_id long, text string, shard string, shard_ string").parquet(str(tmp_path / str(few)))
+        assert sorted(map(tuple, back.select("doc_id", "text", "shard").collect()), key=str) == sorted(
+            [(i, t, t) for i, t in rows], key=str)
+    assert sharding.shard_and_read(docs.limit(0), 300).count() == 0
+
+
+def _bits(value: str) -> str:
+    return f"{int(hashlib.md5(value.encode()).hexdigest()[:15], 16):060b}"
+
+
+def _extendible(rows, limit):
+    """Extendible hashing, one split at a time. Rows are (key, text)."""
+    size = lambda part: sum(len((t or "").encode()) for _, t in part)
+    out = []
+
+    def split(part, bits, depth, name, ends):
+        if size(part) <= limit or len(set(part)) == 1 or depth == 60:
+            ends(part, name[:], depth)
+            return
+        for bit in "01":
+            some = [r for r in part if bits(r)[depth] == bit]
+            if some:
+                split(some, bits, depth + 1, name + bit, ends)
+
+    def place(part, name, depth):
+        out.extend((i, len((t or "").encode()), name, depth, size(part), len(part)) for i, t in part)
+
+    def inner(part, name, depth):
+        if size(part) <= limit or len(part) == 1:
+            place(part, name, depth)
+            return
+
+        def pages(some, bits, deep):
+            if size(some) <= limit:
+                place(some, f"{name}.{bits}", depth + deep)
+                return
+            per = max(1, limit // max(1, size(some[:1])))
+            for k in range(0, len(some), per):
+                place(some[k: k + per], f"{name}.{bits}#{k // per}", depth + deep)
+        split(part, lambda r: _bits("n" if r[1] is None else "t" + r[1]), 0, "", pages)
+
+    split(rows, lambda r: _bits("n" if r[0] is None else f"k{r[0]}"), 0, "", inner)
+    return out
 
 
 def _pages():
