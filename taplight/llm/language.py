@@ -1,8 +1,10 @@
 """Language identification by compression with per-language dictionaries.
 
-A language's dictionary is raw content for zstandard: whole training texts of that language,
-in the order of a hash of their ids, up to ``DICTIONARY_BYTES``. That sample is the model's
-only bound; it is a parameter, and so is what gets collected. Texts and dictionaries are
+A language's dictionary is raw content for zstandard: distinct training texts of that language
+in the order of a hash of id and text, up to ``DICTIONARY_BYTES``. A text of more than ``PART``
+characters gives one window of that size, at a place that its hash picks, so that no text
+crowds out the others. That sample is the model's only bound; predictions read whole texts.
+Texts and dictionaries are
 reduced to lower-case letters and single spaces, so that case and junk symbols don't count. A
 text is cut into chunks of ``CHUNK`` bytes; every chunk is compressed with each dictionary,
 and the language with the fewest bytes over all chunks wins. A margin below ``MARGIN`` of the
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS = 400
+PART = 4096
 CHUNK = 4096
 LEVEL = 6
 MARGIN = 0.002
@@ -42,31 +45,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def dictionaries(training: DataFrame, size: int = DICTIONARY_BYTES, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
+def dictionaries(training: DataFrame, size: int = DICTIONARY_BYTES, rows: int = SAMPLE_ROWS,
+                 part: int = PART) -> dict[str, bytes]:
     """Dictionary content per language from ``training(doc_id, text, lang)``.
 
-    Rows with null lang or text, or empty text, are left out. At most ``rows`` rows and about
-    ``size`` bytes a language reach the driver.
+    Rows with null lang or text, or empty text, are left out; equal rows count as one. About
+    ``4 * rows`` hashes and at most ``rows`` windows of ``part`` characters a language reach the
+    driver, whatever the table holds. Texts are not shuffled: rows are thinned where they are read.
     """
     usable = training.where("lang is not null and text is not null and text != ''").select(
-        "lang", "text", F.xxhash64("doc_id").alias("h"))
+        "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    distinct = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not distinct:
+        return {}
     # Hashes below a share that holds four times the rows wanted; all rows of a rare language.
-    share = usable.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n_rows"))
-    part = F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)
-    usable = usable.join(share, F.col("lang") == F.col("l")).where(
-        part <= 4 * rows / F.col("n_rows")).select(
-        "lang", "text", "h", F.octet_length("text").alias("n"), F.xxhash64("text").alias("t"))
-    order = Window.partitionBy("lang").orderBy("h", "t")
-    chosen = usable.select("lang", "h", "t", "n").withColumn("nth", F.row_number().over(order)).where(
-        F.col("nth") <= rows).withColumn("before", F.sum("n").over(order.rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)) - F.col("n")).where(
-        F.col("before") < size).select("lang", "h", "t", "before")
-    texts = usable.join(chosen, ["lang", "h", "t"]).select(
-        "lang", "before", F.substring("text", 1, size).alias("text")).collect()
-    content: dict[str, bytes] = {}
-    for lang, _, text in sorted(texts):
-        content[lang] = (content.get(lang, b"") + b" " + letters(text))[-size:]
-    return content
+    share = F.create_map(*[F.lit(x) for r in distinct for x in (r["lang"], min(1.0, 4 * rows / max(1, r["n"])))])
+    place = F.pmod(F.col("h"), F.lit(1 << 30))
+    order = Window.partitionBy("lang").orderBy(place, "h")
+    keys = usable.where(place <= share[F.col("lang")] * (1 << 30)).groupBy("lang", "h").agg(F.max(F.least(
+        F.octet_length("text"), F.lit(part))).alias("n")).withColumn("before", F.sum("n").over(
+            order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).withColumn(
+        "nth", F.row_number().over(order)).where((F.col("nth") <= rows) & (F.col("before") < size))
+    chosen = [(r["lang"], r["h"]) for r in keys.select("lang", "h").collect()]
+    wanted = training.sparkSession.createDataFrame(chosen, "l string, k long")
+    length = F.char_length("text")
+    window = F.substring(F.col("text"), F.when(length > part, F.pmod(F.col("h"), length - part + 1) + 1).otherwise(
+        1).cast("int"), F.lit(part))
+    texts = usable.join(F.broadcast(wanted), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k"))).groupBy(
+        "lang", "h").agg(F.max(window).alias("text")).collect()
+    content: dict[str, list[bytes]] = {r["lang"]: [] for r in distinct}
+    for lang, _, text in sorted(texts, key=lambda r: (r[0], r[1] % (1 << 30), r[1])):
+        content[lang].append(letters(text))
+    return {lang: b" ".join(some)[:size] for lang, some in content.items() if any(some)}
 
 
 def _classify(shipped, margin: float, at: int, width: int):
@@ -129,7 +139,13 @@ def identify(docs: DataFrame, content: dict[str, bytes], keep: list[str], margin
 
 def identify_documents(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Learns from rows of ``docs(doc_id, text, lang)`` that are not held out, and predicts
-    every row: ``doc_id, held_out, lang_pred, score, margin, rejected``."""
+    every row: ``doc_id, held_out, lang_pred, score, margin, rejected``.
+
+    Null texts, empty ones and those without a letter give ``und`` with score 0. A null lang or
+    id trains nothing or as any other. Repeated rows train once and each get their result;
+    other columns are ignored; an empty table, or one without labels, learns nothing. Long
+    texts are compressed whole, chunk by chunk.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     content = dictionaries(rows.where(~held_out(F.col("doc_id"))))
     return identify(rows, content, ["doc_id"], margin).select(
