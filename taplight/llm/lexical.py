@@ -28,7 +28,7 @@ from .common import likely, written
 from .shingles import in_chunks, mix, word_hashes
 
 TOP = 50
-HASHES, BITS = 3, 8
+HASHES, BITS = 5, 16
 #: Occurrences from which a level's entry is set. A level's score is that of its last count.
 LEVELS = (1, 2, 3, 4, 6, 9, 14, 24, 48)
 #: Bits of a block, and queries that are searched together.
