@@ -340,3 +340,55 @@ def _(v):
     return dns.dns_tunnel_score(v.flows).select(
         "flow_id", F.round("entropy", 6).alias("entropy"), F.round("qps", 5).alias("qps"),
         "confidence", "severity")
+
+
+# ------------------------------------------------------------- all detectors
+def _on_traffic(sql: str) -> str:
+    return sql.replace("flows_v", "traffic_v").replace("periodic_v", "contacts")
+
+
+_CV = "flow_id, round(cv, 4) AS cv, confidence, CASE WHEN confidence > 0.5 THEN 'high' ELSE 'medium' END AS severity"
+_CONTACTS = "contacts AS (SELECT * FROM traffic_v WHERE dst_port <> 53)"
+_SPARSE = "sparse AS (SELECT * FROM contacts WHERE packet_count <= 40 AND bytes_transferred < 25000)"
+_DESTINATION = f"""{_beacon_sql('''dests AS (SELECT flow_id, list(start_time) OVER w AS s, min(src_ip) OVER u AS lo,
+      max(src_ip) OVER u AS hi FROM sparse WINDOW
+      w AS (PARTITION BY dst_ip, dst_port ORDER BY start_time, flow_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW),
+      u AS (PARTITION BY dst_ip, dst_port ORDER BY start_time, flow_id ROWS UNBOUNDED PRECEDING)),
+    open_rows AS (SELECT flow_id, s FROM dests WHERE lo <> hi
+      AND flow_id NOT IN (SELECT flow_id FROM ph))''', 'open_rows')}"""
+#: No destination has both sparse flows and others, so its series are those of its sparse flows.
+DETECTIONS = f"""WITH dd AS (WITH {_on_traffic(_RATED)}, {_on_traffic(_ENTROPY)} SELECT flow_id, confidence,
+      CASE WHEN rate_hit AND confidence > 0.75 THEN 'high' ELSE 'medium' END AS severity, round(h, 3) AS evidence
+    FROM (SELECT flow_id, {_RATE_HIT} AS rate_hit,
+        CASE WHEN {_RATE_HIT} THEN {_conf(111.0)} ELSE {_conf(20.0)} END AS confidence
+      FROM rated WHERE {_RATE_HIT} OR {_AMP_HIT}) JOIN ent USING (flow_id)),
+  {_CONTACTS}, {_SPARSE},
+  bp AS (WITH {_on_traffic(_PAIR)} SELECT {_CV} FROM hits), ph AS (SELECT flow_id FROM bp),
+  bd AS (WITH {_DESTINATION} SELECT {_CV} FROM hits),
+  sc AS (WITH {_on_traffic(_RUNNING)} SELECT flow_id, unique_dst_ports, {_SCAN_RULE} FROM fan WHERE {_SCAN_HIT}),
+  dt AS (WITH {_on_traffic(_TUNNEL)} SELECT flow_id, query_length, least(1.0, points/100)::DOUBLE AS confidence,
+      CASE WHEN points >= 70 THEN 'high' ELSE 'medium' END AS severity FROM sc WHERE points >= 50),
+  sl AS (WITH {_SLOW}, c AS (SELECT a.flow_id, count(*) AS concurrent FROM ok a JOIN ok b ON a.dst_ip = b.dst_ip
+        AND a.dst_port = b.dst_port AND (b.start_time, b.flow_id) <= (a.start_time, a.flow_id)
+        AND b.start_time <= a.slow_end AND b.slow_end >= a.start_time GROUP BY a.flow_id)
+    SELECT flow_id, concurrent, round(least(0.95, 0.62 + 0.33*least(1.0, (concurrent-8)/8)), 4)::DOUBLE AS confidence
+    FROM c WHERE concurrent >= 8)
+  SELECT flow_id, 'ddos' AS detector, 'ddos' AS threat_class, severity, confidence, evidence::DOUBLE AS evidence FROM dd
+  UNION ALL SELECT flow_id, 'beacon', 'c2_beacon', severity, confidence, cv FROM bp
+  UNION ALL SELECT flow_id, 'beacon', 'c2_beacon', severity, confidence, cv FROM bd
+  UNION ALL SELECT flow_id, 'scan', 'port_scan', severity, confidence, unique_dst_ports FROM sc
+  UNION ALL SELECT flow_id, 'exfil', 'exfiltration', CASE WHEN bytes_transferred > 104857600 THEN 'critical'
+      WHEN bytes_transferred > 10485760 THEN 'high' ELSE 'medium' END, 0.82, bytes_transferred
+    FROM traffic_v WHERE {_EXFIL}
+  UNION ALL SELECT flow_id, 'dns_tunnel', 'dns_tunnel', severity, confidence, NULL FROM dt
+  UNION ALL SELECT flow_id, 'slow_rate', 'ddos', CASE WHEN confidence > 0.75 THEN 'high' ELSE 'medium' END, confidence,
+    concurrent FROM sl"""
+
+
+def detection_rows(found):
+    """Verdicts with the value of the evidence that carries each detector's state."""
+    names = {"ddos": "src_ip_entropy", "beacon": "inter_arrival_cv", "scan": "unique_dst_ports",
+             "exfil": "outbound_bytes_abs", "slow_rate": "concurrent_slow_connections"}
+    wanted = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("detector")]
+    value = F.get(F.filter("evidence", lambda e: e["feature_name"] == wanted), F.lit(0))["value"]
+    return found.select("flow_id", "detector", "threat_class", "severity", "confidence", value.alias("evidence"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
 from ..operators import exfil, scan
-from .detectors import _EXFIL, _RUNNING, _SCAN_HIT, _SCAN_RULE
+from ..session import cut_lineage
+from .detectors import _EXFIL, _RUNNING, _SCAN_HIT, _SCAN_RULE, DETECTIONS, detection_rows
 from .registry import query
 
 _SCAN_ALERTS = f"""{_RUNNING}, found AS (SELECT flow_id, src_ip AS source_ip, unique_dst_ports,
@@ -28,10 +29,9 @@ def _(v):
         L.evidence_value("unique_dst_hosts", raw=None).cast("bigint").alias("unique_dst_hosts"))
 
 
-@query("detect_all")
+@query("detect_all", DETECTIONS, ["traffic_v"])
 def _(v):
-    return L.detect_all(v.stored_flows).groupBy("detector", "threat_class", "severity").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return detection_rows(L.detect_all(cut_lineage(v.traffic)))
 
 
 @query("assign_severity", """SELECT alert_id, CASE WHEN threat_class IN ('port_scan','tls_malware')

@@ -179,6 +179,16 @@ class Views:
             F.transform(F.sequence(F.lit(0).cast("bigint"), packets - 1),
                         lambda i: start + i * step).alias("timestamps"))
 
+    @cached_property
+    def traffic(self) -> DataFrame:
+        """All derived flows in one table: bulk transfers, floods of small packets (every second
+        of the order flows), periodic contacts and slow connections with their packet times."""
+        number = F.substring("flow_id", 2, 20).cast("bigint")
+        bulk = self.flows.withColumn("bytes_transferred", F.when(
+            number % 2 == 0, F.floor(F.col("bytes_transferred") / 8)).otherwise(F.col("bytes_transferred")))
+        return bulk.unionByName(self.periodic, allowMissingColumns=True).unionByName(
+            self.slow, allowMissingColumns=True)
+
     @cached_property
     def names(self) -> DataFrame:
         hosts = self.table("pages").select(
@@ -388,6 +398,13 @@ SQL = {
     CAST(25 + (s_suppkey*11 + r*r) % 200 AS DOUBLE) AS duration_seconds,
     CAST({BASE} + s_suppkey*37 + r*9 AS DOUBLE) AS start_time
   FROM supplier, range(20) t(r)""",
+    "traffic_v": """
+  SELECT * REPLACE (CASE WHEN CAST(substr(flow_id, 2) AS BIGINT) % 2 = 0 THEN bytes_transferred // 8
+      ELSE bytes_transferred END AS bytes_transferred) FROM flows_v
+  UNION ALL BY NAME SELECT *, []::INTEGER[] AS dst_ports, 0 AS sum_ports, 0 AS sum_hosts, '' AS dns_query,
+    0 AS dns_qtype FROM periodic_v
+  UNION ALL BY NAME SELECT *, []::INTEGER[] AS dst_ports, 0 AS sum_ports, 0 AS sum_hosts, '' AS dns_query,
+    0 AS dns_qtype FROM slow_v""",
     "names_v": """
   SELECT 'h' || CAST(page_id AS VARCHAR) AS name_id,
     regexp_extract(url, '^https?://([^/?#]+)', 1) AS domain, 0 AS label FROM pages
@@ -443,7 +460,7 @@ SQL = {
     CASE WHEN n_chars % 1000 > 500 THEN 1 ELSE 0 END AS pred
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
 }
-_NEEDS = {"series_v": ["periodic_v"], "gaps_v": ["periodic_v", "series_v"]}
+_NEEDS = {"traffic_v": ["flows_v", "periodic_v", "slow_v"], "series_v": ["periodic_v"], "gaps_v": ["periodic_v", "series_v"]}
 
 
 def with_views(sql: str, *views: str) -> str:

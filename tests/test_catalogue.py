@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from oracle import compare
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"train_dga", "cross_validated_auc", "detect_all", "loss_study", "train_tls", "stream_flows",
+SLOW = {"train_dga", "cross_validated_auc", "loss_study", "train_tls", "stream_flows",
         "feature_importance_top", "tls_malware_detect", "isolation_forest", "ddos_calibration",
         "ddos_isolation_forest", "exfil_forest", "dga_detect", "stream_alerts", "stream_detect"}
 
