@@ -121,20 +121,29 @@ def _entropies(flows: DataFrame, wanted: Column | None = None,
                        _entropy_scan(window, cap), _ENTROPY)
 
 
+def with_rate_verdicts(flows: DataFrame) -> DataFrame:
+    """``flows`` with their rates, and whether the rate rule or the amplifier rule fires."""
+    return with_rates(flows).withColumn("_rate", F.coalesce(_rate_hit(), F.lit(False))) \
+                            .withColumn("_amp", F.coalesce(_amplifier_hit(), F.lit(False)))
+
+
 def ddos_detect(flows: DataFrame) -> DataFrame:
     """Both rate rules with their entropy evidence.
 
     Only destinations with a firing flow enter the entropy pass.
     """
-    rated = with_rates(with_copy_number(flows)).withColumn("_rate", F.coalesce(_rate_hit(), F.lit(False))) \
-                             .withColumn("_amp", F.coalesce(_amplifier_hit(), F.lit(False)))
+    rated = with_rate_verdicts(with_copy_number(flows))
     fires = F.col("_rate") | F.col("_amp")
     hit = rated.where(fires)
     context = join_null_safe(
         rated.select("dst_ip", "start_time", "flow_id", COPY, "src_ip", fires.alias("_fires")),
         hit.select("dst_ip").distinct(), ["dst_ip"], "left_semi")
     entropy = _entropies(cut_lineage(context), F.col("_fires"))
-    scored = join_null_safe(hit, entropy, ["flow_id", "start_time", COPY])
+    return ddos_detections(join_null_safe(hit, entropy, ["flow_id", "start_time", COPY]))
+
+
+def ddos_detections(scored: DataFrame) -> DataFrame:
+    """Detections of firing flows from their rates and ``src_ip_entropy``."""
     rate, size, h = F.col("pkt_rate"), F.col("avg_pkt"), F.col("src_ip_entropy")
     conf = F.when(F.col("_rate"), rate_confidence(rate, S.RATE_THRESHOLD)) \
             .otherwise(rate_confidence(rate, S.AMPLIFIER_RATE_THRESHOLD))

@@ -19,9 +19,16 @@ DETECTOR_ORDER = ("ddos", "ddos_forest", "beacon", "dga", "tls", "scan", "exfil"
 MERGE_KEY = ("threat_class", "source_ip", "destination_ip", "protocol")
 
 
-def detect_all(flows: DataFrame, learned: Sequence[DataFrame] = ()) -> DataFrame:
-    """Union of all detectors. ``learned`` adds model verdicts (names, TLS, forest)."""
-    parts = [ddos.ddos_detect(flows), beacon.beacon_detect(flows), scan.scan_detect(flows),
+def detect_all(flows: DataFrame, learned: Sequence[DataFrame] = (),
+               idle: Mapping[str, float] | None = None) -> DataFrame:
+    """Union of all detectors. ``learned`` adds model verdicts (names, TLS, forest).
+
+    ``idle`` (``settings.STATE_IDLE_SECONDS``, say) drops what a quiet source or pair had shown, as a
+    stream does; without it a table's whole history counts.
+    """
+    quiet = idle or {}
+    parts = [ddos.ddos_detect(flows), beacon.beacon_detect(flows, quiet.get("beacon")),
+             scan.scan_detect(flows, quiet.get("scan")),
              exfil.exfil_detect(flows), dns.dns_tunnel_detect(flows)]
     if "timestamps" in flows.columns:
         parts.append(slow_rate.slow_rate_detect(flows))

@@ -152,6 +152,19 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  .drop("_before", "_head", "_carry", BUCKET)
 
 
+def idle_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], idle: float,
+              bucket_seconds: float = 3600.0, name: str = "_idle") -> DataFrame:
+    """Start of the activity each row belongs to: a key quiet for ``idle`` seconds starts anew.
+
+    The first of ``order`` is the time. The streaming operators drop a key's state by the same
+    rule, so ``keys`` with this column name one life of that state.
+    """
+    ts = order[0]
+    ran = runs(bucketed(df, F.col(ts), bucket_seconds), keys, order,
+               lambda prev: F.col(ts) >= prev[ts] + F.lit(float(idle)), name=name)
+    return ran.withColumn(name, F.col(name)[ts])
+
+
 def anchored_groups(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
                     width: float, idle: float | None = None, closes: Column | None = None,
                     name: str = "group_start", bucket_seconds: float = 3600.0,

@@ -348,24 +348,42 @@ def _on_traffic(sql: str) -> str:
 
 
 _CV = "flow_id, round(cv, 4) AS cv, confidence, CASE WHEN confidence > 0.5 THEN 'high' ELSE 'medium' END AS severity"
-_CONTACTS = "contacts AS (SELECT * FROM traffic_v WHERE dst_port <> 53)"
-_SPARSE = "sparse AS (SELECT * FROM contacts WHERE packet_count <= 40 AND bytes_transferred < 25000)"
+
+
+def _lives(source: str, key: str, column: str, idle: float | None) -> str:
+    """Rows of ``source`` whose ``column`` also names the life of the key's state."""
+    if idle is None:
+        return f"SELECT * FROM {source}"
+    line = f"OVER (PARTITION BY {key} ORDER BY start_time, flow_id)"
+    return f"""SELECT * REPLACE ({column} || '#' || life AS {column}) FROM (SELECT *, sum(opens) {line} AS life FROM (
+      SELECT *, CASE WHEN start_time < lag(start_time) {line} + {idle} THEN 0 ELSE 1 END AS opens FROM {source}))"""
+
+
 _DESTINATION = f"""{_beacon_sql('''dests AS (SELECT flow_id, list(start_time) OVER w AS s, min(src_ip) OVER u AS lo,
       max(src_ip) OVER u AS hi FROM sparse WINDOW
       w AS (PARTITION BY dst_ip, dst_port ORDER BY start_time, flow_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW),
       u AS (PARTITION BY dst_ip, dst_port ORDER BY start_time, flow_id ROWS UNBOUNDED PRECEDING)),
     open_rows AS (SELECT flow_id, s FROM dests WHERE lo <> hi
       AND flow_id NOT IN (SELECT flow_id FROM ph))''', 'open_rows')}"""
-#: No destination has both sparse flows and others, so its series are those of its sparse flows.
-DETECTIONS = f"""WITH dd AS (WITH {_on_traffic(_RATED)}, {_on_traffic(_ENTROPY)} SELECT flow_id, confidence,
+
+
+def detections_sql(idle: dict[str, float]) -> str:
+    """No destination has both sparse flows and others, so its series are those of its sparse flows."""
+    beacon_idle, scan_idle = idle.get("beacon"), idle.get("scan")
+    running_ = _RUNNING.replace("flows_v", "sources")
+    return f"""WITH dd AS (WITH {_on_traffic(_RATED)}, {_on_traffic(_ENTROPY)} SELECT flow_id, confidence,
       CASE WHEN rate_hit AND confidence > 0.75 THEN 'high' ELSE 'medium' END AS severity, round(h, 3) AS evidence
     FROM (SELECT flow_id, {_RATE_HIT} AS rate_hit,
         CASE WHEN {_RATE_HIT} THEN {_conf(111.0)} ELSE {_conf(20.0)} END AS confidence
       FROM rated WHERE {_RATE_HIT} OR {_AMP_HIT}) JOIN ent USING (flow_id)),
-  {_CONTACTS}, {_SPARSE},
+  meets AS (SELECT * FROM traffic_v WHERE dst_port <> 53),
+  contacts AS ({_lives('meets', 'src_ip, dst_ip, dst_port', 'src_ip', beacon_idle)}),
+  sparse AS (SELECT * FROM ({_lives('meets', 'dst_ip, dst_port', 'dst_ip', beacon_idle)})
+    WHERE packet_count <= 40 AND bytes_transferred < 25000),
+  sources AS ({_lives('traffic_v', 'src_ip', 'src_ip', scan_idle)}),
   bp AS (WITH {_on_traffic(_PAIR)} SELECT {_CV} FROM hits), ph AS (SELECT flow_id FROM bp),
   bd AS (WITH {_DESTINATION} SELECT {_CV} FROM hits),
-  sc AS (WITH {_on_traffic(_RUNNING)} SELECT flow_id, unique_dst_ports, {_SCAN_RULE} FROM fan WHERE {_SCAN_HIT}),
+  sc AS (WITH {running_} SELECT flow_id, unique_dst_ports, {_SCAN_RULE} FROM fan WHERE {_SCAN_HIT}),
   dt AS (WITH {_on_traffic(_TUNNEL)} SELECT flow_id, query_length, least(1.0, points/100)::DOUBLE AS confidence,
       CASE WHEN points >= 70 THEN 'high' ELSE 'medium' END AS severity FROM sc WHERE points >= 50),
   sl AS (WITH {_SLOW}, c AS (SELECT a.flow_id, count(*) AS concurrent FROM ok a JOIN ok b ON a.dst_ip = b.dst_ip

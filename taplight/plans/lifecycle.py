@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import lifecycle as L
 from ..operators import exfil, scan
 from ..session import cut_lineage
-from .detectors import _EXFIL, _RUNNING, _SCAN_HIT, _SCAN_RULE, DETECTIONS, detection_rows
+from .detectors import _EXFIL, _RUNNING, _SCAN_HIT, _SCAN_RULE, detection_rows, detections_sql
 from .registry import query
 
 _SCAN_ALERTS = f"""{_RUNNING}, found AS (SELECT flow_id, src_ip AS source_ip, unique_dst_ports,
@@ -29,7 +29,7 @@ def _(v):
         L.evidence_value("unique_dst_hosts", raw=None).cast("bigint").alias("unique_dst_hosts"))
 
 
-@query("detect_all", DETECTIONS, ["traffic_v"])
+@query("detect_all", detections_sql({}), ["traffic_v"])
 def _(v):
     return detection_rows(L.detect_all(cut_lineage(v.traffic)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import types as T
 
 from .. import settings as S
@@ -55,18 +56,44 @@ class FlowRecords(Fold):
                  state["ts"], state["sizes"])]
 
 
+class Carrying(Fold):
+    """A fold that emits a row for each of its input rows, with that row's columns ``carry``
+    instead of the contact's. Rows where ``wanted`` is not set are folded in silence."""
+
+    def __init__(self, fold: Fold, carry: list[T.StructField], wanted: str | None = None):
+        self.fold, self.carry, self.wanted = fold, [f.name for f in carry], wanted
+        self.output = T.StructType([*carry, *fold.output.fields[len(_CONTACT):],
+                                    T.StructField("event_time", T.TimestampType())])
+
+    def step(self, state, row):
+        state, out = self.fold.step(state, row)
+        if self.wanted and not row[self.wanted]:
+            return state, []
+        kept = tuple(row[c] for c in self.carry)
+        return state, [(*kept, *t[len(_CONTACT):], pd.Timestamp(round(row["start_time"] * 1e6), unit="us"))
+                       for t in out]
+
+    def expires_at(self, state):
+        return self.fold.expires_at(state)
+
+    def on_expiry(self, state):
+        return self.fold.on_expiry(state)
+
+
 _CONTACT = [T.StructField("flow_id", T.StringType()), T.StructField("src_ip", T.StringType()),
             T.StructField("dst_ip", T.StringType()), T.StructField("start_time", T.DoubleType())]
 
 
 class TrailingStarts(Fold):
     """Last start times of a key, for the periodicity test. ``sparse_only`` keeps small
-    flows and reports once two sources have contributed."""
+    flows and reports once two sources have contributed; before that it is silent, or with
+    ``every_row`` reports no series."""
 
     output = T.StructType([*_CONTACT, T.StructField("series", T.ArrayType(T.DoubleType()))])
 
-    def __init__(self, rows: int, sparse_only: bool = False, ttl: float = 3600.0):
-        self.rows, self.sparse_only, self.ttl = rows, sparse_only, ttl
+    def __init__(self, rows: int, sparse_only: bool = False,
+                 ttl: float = S.STATE_IDLE_SECONDS["beacon"], every_row: bool = False):
+        self.rows, self.sparse_only, self.ttl, self.every_row = rows, sparse_only, ttl, every_row
 
     def step(self, state, row):
         state = state or {"starts": [], "sources": []}
@@ -78,7 +105,8 @@ class TrailingStarts(Fold):
             if len(state["sources"]) < 2 and row["src_ip"] not in state["sources"]:
                 state["sources"].append(row["src_ip"])
         if self.sparse_only and len(state["sources"]) < 2:
-            return state, []
+            return state, [(row["flow_id"], row["src_ip"], row["dst_ip"], row["start_time"],
+                            [])] if self.every_row else []
         return state, [(row["flow_id"], row["src_ip"], row["dst_ip"], row["start_time"],
                         state["starts"])]
 
@@ -93,7 +121,8 @@ class ScanFanout(Fold):
     output = T.StructType([*_CONTACT, T.StructField("unique_dst_ports", T.LongType()),
                            T.StructField("unique_dst_hosts", T.LongType())])
 
-    def __init__(self, cap: int = S.SCAN_FLOW_CAP, ttl: float = 900.0):
+    def __init__(self, cap: int | None = S.SCAN_FLOW_CAP,
+                 ttl: float = S.STATE_IDLE_SECONDS["scan"]):
         self.cap, self.ttl = cap, ttl
 
     def step(self, state, row):
@@ -106,10 +135,15 @@ class ScanFanout(Fold):
         entry = [row["dst_ip"], [str(p) for p in ports], int(row["summary_ports"] or 0)]
         state["flows"][row["flow_id"]] = entry
         self._count(state, entry, 1)
-        if len(state["flows"]) > self.cap:
+        evicted = self.cap is not None and len(state["flows"]) > self.cap
+        if evicted:
             self._count(state, state["flows"].pop(next(iter(state["flows"]))), -1)
         state["last"] = row["start_time"]
-        biggest = max(f[2] for f in state["flows"].values())
+        # The largest summary is looked for again only when the flow that had it left.
+        gone = old and old[2] == state.get("biggest")
+        state["biggest"] = max(f[2] for f in state["flows"].values()) if gone or evicted else max(
+            state.get("biggest", 0), entry[2])
+        biggest = state["biggest"]
         return state, [(row["flow_id"], row["src_ip"], row["dst_ip"], row["start_time"],
                         max(len(state["ports"]), biggest, len(ports)),
                         max(len(state["hosts"]), int(row["summary_hosts"] or 0), 1))]
@@ -140,6 +174,8 @@ class SourceEntropy(Fold):
         now = row["start_time"]
         kept = [x for x in (state or {"recent": []})["recent"] if x[0] >= now - self.window]
         recent = [*kept, [now, row["src_ip"]]][-self.cap:]
+        if not row.get("fires", True):
+            return {"recent": recent}, [(row["flow_id"], row["src_ip"], row["dst_ip"], now, None)]
         counts: dict[str, int] = {}
         for _, src in recent:
             counts[src] = counts.get(src, 0) + 1
@@ -163,7 +199,7 @@ class SlowConnections(Fold):
     output = T.StructType([*_CONTACT, T.StructField("concurrent", T.LongType()),
                            T.StructField("distinct_sources", T.LongType())])
 
-    def __init__(self, ttl: float = 600.0):
+    def __init__(self, ttl: float = S.STATE_IDLE_SECONDS["slow_rate"]):
         self.ttl = ttl
 
     def step(self, state, row):
