@@ -33,7 +33,8 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", r"AKIA", 16),
     "hex": (r"[0-9a-f]{32,}", r"[0-9a-f]{32}", 32),
 }
-RANDOM = (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", r"[A-Za-z0-9+/_-]{20}", 20)
+# One or two signs of padding belong to a token unless more of it, or a value, follows.
+RANDOM = (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?", r"[A-Za-z0-9+/_-]{20}", 20)
 KINDS = [*BASE, "random"]
 _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()

@@ -105,7 +105,7 @@ _UP, _LOW, _NUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0
 _ALPHABETS = [("hex", _NUM + "abcdef"), ("hex_upper", _NUM + "ABCDEF"), ("base32", _UP + "234567"),
               ("base62", _UP + _LOW + _NUM), ("base64url", _UP + _LOW + _NUM + "-_"), ("base64", _UP + _LOW + _NUM + "+/")]
 _PATTERNS = [("assign", "(?i:(?:password|passwd|secret|token|api_?key))[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9+/_.=-]+"),
-             ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), ("random", "[A-Za-z0-9+/_=-]+")]
+             ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), ("random", "[A-Za-z0-9+/_-]+=*")]
 
 
 def _tail(z: str) -> str:
@@ -133,8 +133,10 @@ t AS (SELECT *, CASE WHEN NOT regexp_matches(body, '[0-9]') OR NOT regexp_matche
       WHEN regexp_full_match(body, '[0-9a-f]+') THEN 'hex' WHEN regexp_full_match(body, '[0-9A-F]+') THEN 'hex_upper'
       WHEN regexp_full_match(body, '[A-Z2-7]+') THEN 'base32' WHEN regexp_full_match(body, '[0-9A-Za-z]+') THEN 'base62'
       WHEN regexp_full_match(body, '[0-9A-Za-z_-]+') THEN 'base64url' ELSE 'base64' END AS encoding
-    FROM (SELECT *, regexp_replace(token, '=+$', '') AS body FROM a
-          WHERE kind = 'random' AND regexp_full_match(token, '[A-Za-z0-9+/_-]{{20,}}={{0,2}}'))),
+    FROM (SELECT doc_id, body, start, start + length(body) + CASE WHEN length(token) - length(body) <= 2
+              AND coalesce(behind > stop, true) THEN length(token) - length(body) ELSE 0 END AS stop
+          FROM (SELECT *, regexp_replace(token, '=+$', '') AS body, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS behind
+                FROM a WHERE kind = 'random') WHERE length(body) >= 20)),
 v AS (SELECT doc_id, start, stop, encoding, length(body)::DOUBLE AS n, string_split(body, '') AS c,
       {_chosen("encoding", [(k, str(len(x))) for k, x in _ALPHABETS])}::DOUBLE AS k,
       list_transform(string_split(body, ''), lambda c: (instr({_chosen("encoding", [(k, f"'{x}'") for k, x in _ALPHABETS])}, c) - 1)::DOUBLE) AS v

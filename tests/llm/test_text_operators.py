@@ -63,7 +63,7 @@ def test_random_tokens_behind_any_sign_are_found(spark):
     rng = random.Random(11)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     forms = ["GITHUB_PAT={}", "https://h/x?sig={}&v=1", "https://h/x?x={}", 'auth="{}"', "auth='{}'", "AUTH: {}", "auth:{}",
-             "--key={}==", "a=={}"]
+             "--key={}==", "a=={}", "{}=v", "sid.{}=1", "{}===", "{}: 1", "{}== x"]
     texts, want = [], []
     for form in forms:
         for _ in range(10):
@@ -71,7 +71,8 @@ def test_random_tokens_behind_any_sign_are_found(spark):
             text = form.format(token)
             start = text.index(token)
             texts.append(text)
-            want.append(f"random:{start}:{start + 40 + 2 * text.endswith('==')}")
+            padded = 2 if text[start + 40:] in ("==", "== x") else 0
+            want.append(f"random:{start}:{start + 40 + padded}")
     got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(_docs(spark, list(enumerate(texts)))).collect()}
     for f, form in enumerate(forms):
         right = sum(got[i] == want[i] for i in range(10 * f, 10 * f + 10))
@@ -85,6 +86,8 @@ def test_battery_equals_its_sql(spark, tmp_path):
                  "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"]
     texts = [" ".join("".join(rng.choice(a) for _ in range(rng.randrange(20, 31))) + "=" * rng.randrange(3)
                       for a in alphabets) for _ in range(60)]
+    for form in ("{}=v", "{}==v", "{}===", "x={}", "{}= {}==", "sid.{}=1"):
+        texts += [form.format(*["".join(rng.choice(alphabets[4][:-4]) for _ in range(30)) for _ in range(2)]) for _ in range(8)]
     texts += ["a1" * 15, "1" * 19 + "a", "token=" + "".join(rng.choice(alphabets[4]) for _ in range(40))]
     _docs(spark, list(enumerate(texts))).toPandas().to_parquet(tmp_path / "documents.parquet")
     found = secret_scan.secret_scan(_docs(spark, list(enumerate(texts))))
