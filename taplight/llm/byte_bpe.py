@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Recent
 from .shingles import mix
 
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 SLICE = 1_000_000
 _LOAD = 4
 _CUT, _UNEVEN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^\s| \s|\s |\s$")
