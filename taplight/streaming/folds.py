@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pandas as pd
@@ -222,7 +223,8 @@ class AlertMerge(Fold):
         T.StructField("protocol", T.StringType()), T.StructField("ts", T.DoubleType()),
         T.StructField("confidence", T.DoubleType()), T.StructField("first_severity", T.StringType()),
         T.StructField("n_detections", T.LongType()),
-        T.StructField("feature_names", T.ArrayType(T.StringType()))])
+        T.StructField("feature_names", T.ArrayType(T.StringType())),
+        T.StructField("evidence_json", T.StringType())])
 
     def __init__(self, window: float = S.MERGE_WINDOW_SECONDS):
         self.window = window
@@ -235,10 +237,13 @@ class AlertMerge(Fold):
             state = {"id": [row[k] for k in ("alert_id", "threat_class", "source_ip",
                                              "destination_ip", "protocol")],
                      "first": row["ts"], "conf": row["confidence"], "sev": row["severity"],
-                     "n": 0, "names": []}
+                     "n": 0, "names": [], "items": []}
         state["n"] += int(row.get("coalesced") or 1)
         state["conf"] = max(state["conf"], row["confidence"])
-        state["names"] += [x for x in row["feature_names"] if x not in state["names"]]
+        for item in json.loads(row["evidence_json"] or "[]"):
+            if item.get("feature_name") not in state["names"]:
+                state["names"].append(item.get("feature_name"))
+                state["items"].append(item)
         return state, out
 
     def expires_at(self, state):
@@ -246,4 +251,16 @@ class AlertMerge(Fold):
 
     def on_expiry(self, state):
         return [(*state["id"], state["first"], state["conf"], state["sev"], state["n"],
-                 state["names"])]
+                 state["names"], json.dumps(state["items"]))]
+
+
+class AlertUpdates(AlertMerge):
+    """The same groups, also each time one has grown, with a flag for the closed ones."""
+
+    output = T.StructType([*AlertMerge.output.fields, T.StructField("closed", T.BooleanType())])
+
+    def on_expiry(self, state):
+        return [(*row, True) for row in super().on_expiry(state)]
+
+    def grown(self, state):
+        return [(*row, False) for row in super().on_expiry(state)]

@@ -6,7 +6,7 @@ on the fold's output, so one rule text serves both.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -78,17 +78,47 @@ def slow_rate_concurrency(flows: DataFrame, lateness: str = "10 seconds") -> Dat
     return counted.where(F.col("concurrent") >= S.SLOW_MIN_CONCURRENT)
 
 
-def stream_alerts(alerts: DataFrame, lateness: str = "10 seconds") -> DataFrame:
-    """Merged alerts, one row per group once its 300-second window has closed."""
+def _merged(alerts: DataFrame, fold: folds.AlertMerge, lateness: str) -> DataFrame:
     rows = alerts.select(
         "alert_id", "threat_class", "source_ip", "destination_ip", "protocol", "ts", "confidence",
         "severity", F.lower("source_ip").alias("src_key"), F.lower("destination_ip").alias("dst_key"),
-        F.transform("evidence", lambda e: e["feature_name"]).alias("feature_names"))
+        F.to_json("evidence").alias("evidence_json"))
     merged = ordered_fold(rows, ["threat_class", "src_key", "dst_key", "protocol"], "ts",
-                          "alert_id", folds.AlertMerge(), lateness)
+                          "alert_id", fold, lateness)
     scored = lifecycle.severity_scorer(F.col("confidence"), F.col("threat_class"))
-    return merged.withColumn("severity", F.when(F.col("n_detections") > 1, scored)
-                             .otherwise(F.col("first_severity"))).drop("first_severity")
+    return merged.withColumns({
+        "severity": F.when(F.col("n_detections") > 1, scored).otherwise(F.col("first_severity")),
+        "evidence": F.from_json("evidence_json", alerts.schema["evidence"].dataType)}).drop(
+        "first_severity", "evidence_json")
+
+
+def stream_alerts(alerts: DataFrame, lateness: str = "10 seconds") -> DataFrame:
+    """Merged alerts with all their evidence, one row per group once its 300-second window has closed."""
+    return _merged(alerts, folds.AlertMerge(), lateness)
+
+
+def stream_alert_updates(alerts: DataFrame, lateness: str = "10 seconds") -> DataFrame:
+    """A group as it stands whenever alerts joined it, and once more when it has ``closed``."""
+    return _merged(alerts, folds.AlertUpdates(), lateness)
+
+
+def store_updates(batch: DataFrame, epoch: int, path: str) -> None:
+    """Writes one trigger's updates. A trigger that is run again overwrites its own rows, and no others."""
+    batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def write_alert_updates(alerts: DataFrame, path: str, checkpoint: str, lateness: str = "10 seconds", **trigger):
+    """Keeps a table of alert updates by trigger; ``current_alerts`` reads it as one row an alert."""
+    return stream_alert_updates(alerts, lateness).writeStream.foreachBatch(
+        lambda batch, epoch: store_updates(batch, epoch, path)).option("checkpointLocation", checkpoint) \
+        .trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The latest state of each alert: new groups appear, grown ones replace what they were."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/epoch=*")
+    latest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("alert_id", "epoch")]), F.struct("epoch", "closed"))
+    return rows.groupBy("alert_id").agg(latest.alias("a")).select("alert_id", "a.*")
 
 
 def flow_verdicts(flows: DataFrame) -> DataFrame:
