@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,57 @@ def latency_percentiles(samples: DataFrame, value: str, ts: str, tie: str,
         F.round(F.try_divide(total, F.size("v")), 3).alias("mean_ms"))
 
 
+def values_at_ranks(samples: DataFrame, value: str, ranks: Sequence[int], bins: int = 4096) -> dict[int, float]:
+    """The values that stand at ``ranks`` (from 0) when all samples are sorted, without sorting them.
+
+    Each round counts the samples of the ranges still open in ``bins`` equal parts, a map-side
+    count, and goes on with the part that holds the rank, between its own least and greatest
+    value. A round tells at least the two apart, and most narrow a range thousandfold. At most
+    ``bins`` rows a rank reach the driver. Nulls and NaN are no samples.
+    """
+    v = F.col("v")
+    rows = samples.select(F.col(value).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    bounds = rows.agg(F.min("v"), F.max("v")).first()
+    open_, found = {r: (bounds[0], bounds[1], 0) for r in ranks}, {}
+    while open_:
+        found.update({r: lo for r, (lo, hi, _) in open_.items() if lo == hi})
+        open_ = {r: x for r, x in open_.items() if r not in found}
+        if not open_:
+            break
+        # Open ranges are the same or apart, so a sample lies in one of them at most.
+        ranges = sorted({x[:2] for x in open_.values()})
+        part = F.lit(None).cast("int")
+        for k, (lo, hi) in enumerate(ranges):
+            # Halved, as the width of a range may exceed the largest number.
+            share = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+            part = F.when((v >= lo) & (v <= hi), k * bins + F.least(F.lit(bins - 1), F.floor(share * bins))).otherwise(part)
+        counted = sorted(map(tuple, rows.groupBy(part.alias("part")).agg(
+            F.count(F.lit(1)), F.min("v"), F.max("v")).where("part is not null").collect()))
+        for r, (lo, hi, before) in open_.items():
+            k = ranges.index((lo, hi))
+            for at, n, least, most in counted:
+                if at // bins == k:
+                    if before + n > r:
+                        open_[r] = (least, most, before)
+                        break
+                    before += n
+    return found
+
+
+def latency_percentiles_exact(samples: DataFrame, value: str) -> DataFrame:
+    """Nearest-rank percentiles over any number of samples: the columns of ``latency_percentiles``."""
+    v = F.col(value).cast("double")
+    kept = samples.where(v.isNotNull() & ~F.isnan(v))
+    total = kept.agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"))
+    n, lo, hi, mean = total.first()
+    ranks = {q: round(q * (n - 1)) for q in (0.50, 0.95, 0.99)} if n else {}
+    at = values_at_ranks(kept, value, sorted(set(ranks.values())))
+    cells = [n, *(at.get(ranks.get(q)) for q in (0.50, 0.95, 0.99)), lo, hi, mean]
+    names = ["p50_ms", "p95_ms", "p99_ms", "min_ms", "max_ms", "mean_ms"]
+    row = samples.sparkSession.createDataFrame([cells], "samples bigint, " + ", ".join(f"{c} double" for c in names))
+    return row.select("samples", *[F.round(c, 3).alias(c) for c in names])
+
+
 def latency_percentiles_approx(samples: DataFrame, value: str, accuracy: int = 10_000) -> DataFrame:
     """Whole-table percentiles by mergeable sketch, for series too long to hold."""
     p = F.percentile_approx(value, [0.5, 0.95, 0.99], accuracy)

@@ -9,6 +9,7 @@ from ..functions import scan_type, shannon_entropy
 from ..operators import reports as R
 from ..operators import lifecycle as L
 from .features import _ENT
+from ..session import cut_lineage
 from .registry import query
 
 A = ["alerts_v"]
@@ -274,6 +275,14 @@ def _(v):
     return R.fingerprint_uniques(_fingerprints(v))
 
 
+@query("fingerprint_uniques_merged", f"""WITH {_FPS} SELECT count(DISTINCT ja3) AS unique_ja3,
+    count(DISTINCT ja4) AS unique_ja4, CAST(sum(connections) AS BIGINT) AS connections FROM fps""", ["flows_v"])
+def _(v):
+    # Sketches are exact up to some thousand values, as many as the view holds.
+    sketches = R.fingerprint_sketches(_fingerprints(v), "cipher_suite", "tls_version")
+    return R.fingerprint_uniques_merged(cut_lineage(sketches))
+
+
 @query("scan_type_distribution", """SELECT t AS scan_type, count(*) AS count,
     round(count(*)*100.0::DOUBLE/sum(count(*)) OVER (), 6) AS percentage FROM (SELECT
       CASE WHEN p > h THEN 'horizontal' WHEN h > p THEN 'vertical' ELSE 'mixed' END AS t

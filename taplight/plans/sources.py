@@ -201,6 +201,15 @@ def _(v):
     return W.latency_percentiles(v.table("events"), "value", "ts", "event_id")
 
 
+@query("latency_percentiles_exact", """WITH l AS (SELECT list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL)
+  SELECT len(v) AS samples, round(v[CAST(round_even(0.5*(len(v)-1), 0) AS BIGINT)+1], 3) AS p50_ms,
+    round(v[CAST(round_even(0.95*(len(v)-1), 0) AS BIGINT)+1], 3) AS p95_ms,
+    round(v[CAST(round_even(0.99*(len(v)-1), 0) AS BIGINT)+1], 3) AS p99_ms, round(v[1], 3) AS min_ms,
+    round(v[-1], 3) AS max_ms, round(list_avg(v), 3) AS mean_ms FROM l""")
+def _(v):
+    return W.latency_percentiles_exact(v.table("events"), "value")
+
+
 @query("latency_ema")
 def _(v):
     hour = F.date_trunc("hour", "ts").alias("hour")
