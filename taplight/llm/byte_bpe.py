@@ -9,7 +9,7 @@ stale heap entries are skipped, so a piece of n bytes takes n log n steps.
 
 A text is first cut at single spaces between other characters, where every piece ends whatever
 stands around. Each task resolves the distinct chunks of a slice of texts together and
-remembers up to ``REMEMBERED`` of them. The tables are as large as the vocabulary file and
+remembers the latest of them. The tables are as large as the vocabulary file and
 broadcast.
 """
 
@@ -20,7 +20,7 @@ import functools
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import Recent
 from .shingles import mix
 
-REMEMBERED = 200_000
+#: Pieces and chunks that a worker remembers; up to twice as many are held.
+REMEMBERED, CHUNKS = 250_000, 50_000
 SLICE = 1_000_000
 _LOAD = 4
 _CUT, _UNEVEN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^\s| \s|\s |\s$")
@@ -104,7 +105,7 @@ class Vocabulary:
         return [i if self.tokens[i] == p else -1 for i, p in zip(at.tolist(), pieces)]
 
     def _start(self) -> None:
-        self._chunks, self._pieces = Recent(REMEMBERED), Recent(REMEMBERED)
+        self._chunks, self._pieces = Recent(CHUNKS), Recent(REMEMBERED)
         self._code = [int(r).to_bytes(4, "little") for r in self.ranks]
         self._bytes = dict(zip(self.ranks.tolist(), self.tokens))
         index = {t: i for i, t in enumerate(self.tokens)}
@@ -137,7 +138,7 @@ class Vocabulary:
             known = self._pieces.filled(set(part), self._resolved)
             yield b"".join(map(known.__getitem__, part))
 
-    def packed(self, texts: list[str], pieces: regex.Pattern) -> Iterator[bytes]:
+    def packed(self, texts: Iterable[str], pieces: regex.Pattern) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self._chunks is None:
             self._start()
@@ -193,20 +194,22 @@ def _chunks(text: str) -> list[str]:
     return parts
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
+def _slices(texts: Iterable[str]) -> Iterator[list[str]]:
     """Neighbouring texts of ``SLICE`` characters together; a longer text is alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > SLICE:
-            yield texts[start:i]
-            start, size = i, 0
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t) > SLICE:
+            yield some
+            some, size = [], 0
+        some.append(t)
         size += len(t)
-    if start < len(texts):
-        yield texts[start:]
+    if some:
+        yield some
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def _texts(column: pa.Array) -> Iterator[str]:
+    """One at a time, as a batch may hold many long texts."""
+    return (v.as_py() or "" for v in column)
 
 
 def _run(rows: DataFrame, path: str, schema: str, made) -> DataFrame:
@@ -236,7 +239,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded(doc_id, ids)`` with a column ``decoded``: the tokens' bytes. Null ids: empty."""
     return _run(encoded.select("doc_id", "ids"), path, "doc_id long, ids binary, decoded binary",
-                lambda v, column: [column, pa.array([v.decode(i or b"") for i in column.to_pylist()], pa.binary())])
+                lambda v, column: [column, pa.array([v.decode(i or b"") for i in _texts(column)], pa.binary())])
 
 
 def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -235,6 +235,7 @@ def test_memory_of_pieces_may_overflow(monkeypatch):
     vocabulary = byte_bpe.Vocabulary(*(lambda v: (v.tokens, v.ranks.tolist()))(byte_bpe.Vocabulary.read(PATH)))
     plain = _plain(vocabulary)
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(byte_bpe, "CHUNKS", 2)
     monkeypatch.setattr(byte_bpe, "SLICE", 40)
     texts = ["some words here and more words there and some unwordly pieces", "", " two  spaces\n and\t ends ", "again here",
              "", "a  b", "\x1c \x85 x\xa0 y"] * 2
