@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -85,8 +86,9 @@ def values_at_ranks(samples: DataFrame, value: str, ranks: Sequence[int], bins:
         ranges = sorted({x[:2] for x in open_.values()})
         part = F.lit(None).cast("int")
         for k, (lo, hi) in enumerate(ranges):
-            # Halved, as the width of a range may exceed the largest number.
-            share = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+            # Halved only where the width of a range exceeds the largest number: half of the least is 0.
+            half = 2.0 if math.isinf(hi - lo) else 1.0
+            share = (v / half - lo / half) / (hi / half - lo / half)
             part = F.when((v >= lo) & (v <= hi), k * bins + F.least(F.lit(bins - 1), F.floor(share * bins))).otherwise(part)
         counted = sorted(map(tuple, rows.groupBy(part.alias("part")).agg(
             F.count(F.lit(1)), F.min("v"), F.max("v")).where("part is not null").collect()))
