@@ -79,9 +79,12 @@ def tls_matrix(flows: DataFrame, sizes: str | None = None) -> DataFrame:
 
 def train_tls(samples: DataFrame, seed: int = 42) -> PipelineModel:
     """Balanced forest: 100 trees, depth 10, at least five rows per leaf."""
-    classes = samples.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    # Only what the forest reads. A forest takes at most 100 classes, so their sizes are broadcast:
+    # a join by label would gather each class in one task.
+    rows = samples.select("label", *TLS_FEATURES)
+    classes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     sizes = classes.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_k"))
-    weighted = samples.join(classes, "label").join(F.broadcast(sizes)).withColumn(  # one row
+    weighted = rows.join(F.broadcast(classes), "label").join(F.broadcast(sizes)).withColumn(  # one row
         "weight", F.col("_total") / (F.col("_k") * F.col("_n"))).drop("_n", "_total", "_k")
     stages = [VectorAssembler(inputCols=list(TLS_FEATURES), outputCol="raw"),
               StandardScaler(inputCol="raw", outputCol="features", withMean=True),
