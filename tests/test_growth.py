@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from taplight import settings as S
+from taplight.operators import evaluation as E, models as M
 from taplight.streaming.eviction import state_keys, state_lifetimes
 
 FLOW = ("flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, packet_count long, "
@@ -45,3 +46,50 @@ def test_rows_without_a_time_open_a_life_without_one(spark):
 
 def test_lives_of_cold_keys_shuffle_once(spark):
     assert _exchanges(state_lifetimes(_flows(spark))) <= 2
+
+
+def _labelled(spark):
+    rows = [(f"f{i % 37}" if i % 11 else None, ["ddos", "exfiltration", "benign", None][i % 4], [float(t) for t in range(i % 9)],
+             100.0 + i, i * 70, float(i % 7), 5.0, None) for i in range(120)]
+    return spark.createDataFrame(rows, "flow_id string, label string, timestamps array<double>, start_time double, "
+                                       "bytes_transferred long, duration_seconds double, end_time double, packet_sizes array<long>") \
+        .withColumn("packet_count", F.size("timestamps").cast("long") + 20)
+
+
+def _judged(copies):
+    big = copies.where("bytes_transferred > 3000").select("flow_id", F.lit("exfiltration").alias("threat_class"))
+    return big.unionByName(copies.where("packet_count < 24").select("flow_id", F.lit("ddos").alias("threat_class")))
+
+
+def test_loss_study_judges_copies_without_shuffling_them(spark):
+    labelled, classes = _labelled(spark), ("ddos", "exfiltration", "dga")
+    copies = E.packet_loss_resample(labelled, trials=13).withColumn("flow_id", F.concat_ws(
+        "#", "flow_id", F.col("loss").cast("string"), F.col("trial").cast("string")))
+    outcomes = E._outcomes(copies.select("flow_id", "label", "loss", "trial"), _judged(copies))
+    scores = E._class_scores(outcomes, classes, ["loss", "trial"], True).where("tp + fp + fn > 0")
+    wanted = scores.groupBy("loss", "trial").agg(F.round(F.avg("f1"), 4).alias("f")).groupBy("loss").agg(
+        F.round(F.avg("f"), 4), F.count(F.lit(1)))
+    found = E.loss_study(labelled, _judged, classes, trials=13)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftleft" in plan and "loss#" in plan and "collect_set" not in plan
+
+
+def test_one_draw_a_trial_serves_all_levels(spark):
+    out = E.packet_loss_resample(_labelled(spark), partitions=3)
+    assert out.rdd.getNumPartitions() == 3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode([0.0") < plan.index("md5(") and plan.count(":packet:") <= plan.count("explode(")
+
+
+def test_tls_training_does_not_gather_a_class_in_one_task(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, rows: seen.append(rows))
+    names = M.TLS_FEATURES
+    rows = spark.createDataFrame([(i % 2, "x" * 50, *[float(i + j) for j in range(len(names))]) for i in range(60)],
+                                 ["label", "other", *names])
+    M.train_tls(rows)
+    assert "other" not in seen[0].columns
+    seen[0].collect()
+    assert "SortMergeJoin" not in seen[0]._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in seen[0]._jdf.queryExecution().executedPlan().toString()
