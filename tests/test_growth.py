@@ -1,11 +1,13 @@
 """Work and results of steps that were rewritten so that their cost grows no faster than their input."""
 
 import random
+import threading
 
 from pyspark.sql import functions as F
 
 from taplight import settings as S
-from taplight.operators import evaluation as E, models as M
+from taplight.operators import evaluation as E, models as M, scan
+from taplight.operators.common import COPY, IDENTITY, with_copy_number
 from taplight.streaming.eviction import state_keys, state_lifetimes
 
 FLOW = ("flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, packet_count long, "
@@ -93,3 +95,39 @@ def test_tls_training_does_not_gather_a_class_in_one_task(spark, monkeypatch):
     seen[0].collect()
     assert "SortMergeJoin" not in seen[0]._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbering_moves_only_the_columns_it_is_asked_for(spark):
+    flows = _flows(spark).withColumn("wide", F.repeat(F.lit("x"), 100))
+    numbered = with_copy_number(flows, IDENTITY)
+    assert numbered.columns == [*IDENTITY, COPY]
+    both = [sorted(map(str, df.select(*numbered.columns).collect())) for df in (numbered, with_copy_number(flows))]
+    assert both[0] == both[1]
+
+
+def test_fan_out_counts_each_sources_first_sightings(spark):
+    flows = _flows(spark).withColumns({"dst_ports": F.array(F.col("packet_count").cast("int") % 40), "raw_features": F.create_map(
+        F.lit("unique_dst_ports"), (F.col("packet_count") % 7).cast("double"))})
+    found = scan.scan_fanout_running(flows, bucket_seconds=50.0)
+    seen, wanted = {}, []
+    for r in sorted(flows.collect(), key=lambda r: (r["start_time"], r["flow_id"])):
+        ports, hosts, most = seen.setdefault(r["src_ip"], (set(), set(), []))
+        ports.update(r["dst_ports"])
+        ports.update([] if r["dst_port"] is None else [r["dst_port"]])
+        hosts.add(r["dst_ip"])
+        most.append(int(r["raw_features"]["unique_dst_ports"]))
+        wanted.append((r["flow_id"], r["start_time"], max(len(ports), *most, 0), len(hosts)))
+    assert sorted(map(tuple, found.select("flow_id", "start_time", "unique_dst_ports", "unique_dst_hosts").collect())) == sorted(wanted)
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_folds_are_trained_side_by_side(spark, monkeypatch):
+    meet = threading.Barrier(3, timeout=60)
+
+    def train(rows, *rest):
+        meet.wait()
+        return rows.count()
+    monkeypatch.setattr(E, "train_dga", train)
+    monkeypatch.setattr(E, "score_names", lambda rows, model: rows.withColumn("dga_probability", F.col("label") * 0.5))
+    names = spark.createDataFrame([(f"n{i}", i % 2) for i in range(60)], "domain string, label int")
+    assert E.cross_validated_auc(names, folds=3).collect()[0]["mean_auc"] == 1.0
