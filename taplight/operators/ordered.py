@@ -182,8 +182,9 @@ def anchored_groups(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
     pointer doubling, so that no group is ever gathered in one place.
     """
     gap = width if idle is None else min(idle, width)
-    # One column that is never null stands for the key in all joins below.
-    key = F.sha2(F.to_json(F.struct(*keys)), 256)
+    # One column that is never null stands for the key in all joins below: 16 bytes of a digest,
+    # as it travels with every row.
+    key = F.substring(F.unhex(F.sha2(F.to_json(F.struct(*keys)), 256)), 1, 16)
     rows = df.withColumn("_closes", F.lit(False) if closes is None
                          else F.coalesce(closes, F.lit(False))).withColumn("_key", key)
     timeless = rows.where(F.col(ts).isNull())
