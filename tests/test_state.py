@@ -6,11 +6,13 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taplight import settings as S
 from taplight.operators import lifecycle, ordered, reports, scan, telemetry
 from taplight.plans.views import Views
 from taplight.streaming import eviction, late, operators as ST
+from taplight.streaming.ordered_fold import Fold, ordered_fold
 
 SF = "/root/testdata/sf0.001"
 FLOWS = ("flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, packet_count long, "
@@ -168,3 +170,53 @@ def test_merged_sketches_stay_near_the_exact_count(spark):
     row = reports.fingerprint_uniques_merged(stored).first()
     assert abs(row["unique_ja3"] - 20_000) <= 400 and row["unique_ja4"] == 70 and row["connections"] == 60_000
     assert reports.fingerprint_uniques_merged(stored, "hour").count() == 24
+
+
+def test_many_keys_share_a_bucket_and_stay_apart(spark, tmp_path):
+    class Seen(Fold):
+        """Counts a key's rows; a row of output per life, and one each time it has grown."""
+
+        output = T.StructType([T.StructField("k", T.StringType()), T.StructField("p", T.LongType()),
+                               T.StructField("n", T.LongType()), T.StructField("last", T.DoubleType())])
+
+        def step(self, state, row):
+            return {"k": row["k"], "p": row["p"], "n": (state or {"n": 0})["n"] + 1, "last": row["ts"]}, []
+
+        def expires_at(self, state):
+            return state["last"] + 100.0
+
+        def on_expiry(self, state):
+            return [(state["k"], state["p"], state["n"], state["last"])]
+
+    first = [(i, f"k{i % 50}" if i % 50 else None, i % 3 if i % 7 else None, 10.0 + i % 40) for i in range(3000)]
+    later = [(5000, "k1", 1, 90.0), (5001, "k1", 1, 400.0), (5002, None, None, 401.0), (5003, "k2", 2, None)]
+    schema = "i long, k string, p long, ts double"
+    for n, part in enumerate((first, [(6000, "end", 0, 60.0)], later, [(6001, "end", 0, 9000.0)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = ordered_fold(stream, ["k", "p"], "ts", "i", Seen(), "0 seconds", buckets=2)
+    found.writeStream.format("memory").queryName("shared").option("checkpointLocation", str(tmp_path / "ck")).trigger(
+        availableNow=True).start().awaitTermination(120)
+    want = {}
+    for _, k, p, ts in first + later[:1]:
+        n, last = want.get((k, p), (0, 0.0))
+        want[k, p] = (n + 1, max(last, ts))
+    want = sorted(((k, p, *v) for (k, p), v in want.items()), key=str)
+    got = [tuple(r) for r in spark.table("shared").collect() if r["k"] != "end"]
+    assert sorted(got, key=str) == sorted([*want, ("k1", 1, 1, 400.0), (None, None, 1, 401.0)], key=str)
+
+
+def test_idle_state_needs_no_python_and_opens_at_the_very_end(spark, tmp_path):
+    idle = S.STATE_IDLE_SECONDS["scan"]
+    times = [1000.0, 1000.0 + idle - 0.000001, 1000.0 + 2 * idle - 0.000001, 1000.0 + 3 * idle]
+    rows = [_flow(i, "s", f"h{i}", t) for i, t in enumerate(times)] + [_flow(9, "end", "end", 10_000_000)]
+    spark.createDataFrame(rows, FLOWS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    lives = eviction.stream_state_lifetimes(stream, "0 seconds")
+    assert "TransformWithState" not in lives._jdf.queryExecution().toString()
+    lives.writeStream.format("memory").queryName("very_end").option("checkpointLocation", str(tmp_path / "ck")).trigger(
+        availableNow=True).start().awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.table("very_end").where("rule = 'scan' and key = 's'").select(
+        "opened", "last_seen", "n_rows", "peers").collect())
+    assert got == [(times[0], times[1], 2, 2), (times[2], times[2], 1, 1), (times[3], times[3], 1, 1)]
