@@ -84,3 +84,23 @@ def test_ablation_cost(spark):
     rows = [("ddos", m, f) for m, f in zip(E.MODES, (0.9, 0.4, 0.8))]
     row = E.ablation_cost(spark.createDataFrame(rows, "class string, mode string, f1 double")).first()
     assert (row.cost, row.regained) == (0.5, 0.4)
+
+
+def test_forest_scores_are_those_of_a_walk_down_each_tree(spark, monkeypatch):
+    monkeypatch.setattr(M, "_SCORED", 7)
+    rows = [(i, float(i * 37 % 101), None if i % 9 == 4 else float(i * 53 % 97)) for i in range(60)]
+    df = spark.createDataFrame(rows, "flow_id long, a double, b double")
+    forest = M.isolation_forest(df.where("b is not null"), ("a", "b"), trees=5, sample=16)
+    nodes = forest.nodes
+
+    def depth(root, x):
+        at = root
+        while nodes["feature"][at] >= 0:
+            value = x[nodes["feature"][at]]
+            at = nodes["left" if value is not None and value <= nodes["threshold"][at] else "right"][at]
+        return nodes["depth"][at]
+
+    got = {r["flow_id"]: r["score"] for r in forest.transform(df).collect()}
+    for i, *x in rows:
+        mean = sum(depth(r, x) for r in forest.roots) / len(forest.roots)
+        assert abs(got[i] - (-2 ** (-mean / float(M._average_path(16))) - forest.offset)) < 1e-12
