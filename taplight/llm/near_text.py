@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_sizes, likely, local_roots, row_key, whole_groups, without_rows, written
+from .common import group_sizes, likely, local_roots, parted, row_key, whole_groups, without_rows, written
 from .components import connected_components
 from .shingles import in_chunks, mix, shingle_sets
 
@@ -65,7 +65,7 @@ def _sketches(sets: list[np.ndarray], factors: np.ndarray) -> tuple[np.ndarray,
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors = np.random.default_rng(11).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for batch in batches:
+    for batch in parted(batches):
         at = 0
         texts = batch.column(2).cast(pa.binary()).to_pylist()
         for chunk in in_chunks(texts):
@@ -128,7 +128,7 @@ def _likely(percent: int) -> Column:
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             names = batch.schema.names
             left = batch.column(names.index("a_text")).cast(pa.binary()).to_pylist()
             right = batch.column(names.index("b_text")).cast(pa.binary()).to_pylist()

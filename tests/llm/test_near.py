@@ -9,6 +9,7 @@ import pytest
 
 import reference
 from taplight.llm import near_text, vector_links
+from taplight.llm.common import parted
 from taplight.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, bands string, root int"
@@ -146,3 +147,10 @@ def test_components(spark):
     touched = {x for a, b in pairs if b is not None and a != b for x in (a, b)}
     assert {r["node"]: r["root"] for r in got} == {x: groups.find(x) for x in touched} and len(got) == len(touched)
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_texts_are_taken_a_few_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1201))})
+    parts = list(parted(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [500, 500, 201]
+    assert [n for p in parts for n in p.column(0).to_pylist()] == list(range(1201))
