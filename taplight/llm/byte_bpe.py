@@ -18,10 +18,10 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import re
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from heapq import heapify, heappop, heappush
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from .common import Recent
 from .shingles import mix
 
 #: Pieces and chunks that a worker remembers; up to twice as many are held.
-REMEMBERED, CHUNKS = 250_000, 50_000
+REMEMBERED, CHUNKS = 150_000, 50_000
 SLICE = 1_000_000
 _LOAD = 4
 _CUT, _UNEVEN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^\s| \s|\s |\s$")
@@ -110,13 +110,16 @@ class Vocabulary:
         self._bytes = dict(zip(self.ranks.tolist(), self.tokens))
         index = {t: i for i, t in enumerate(self.tokens)}
         self._byte = [index.get(bytes([b])) for b in range(256)]
-        # What two neighbouring tokens make: each split of a token into two tokens.
-        self._pair = {}
+        # What a token makes with the one behind it: each split of a token into two tokens.
+        none: dict[int, int] = {}
+        self._follow = [none] * len(self.tokens)
         for token, i in index.items():
             for k in range(1, len(token)):
                 left, right = index.get(token[:k]), index.get(token[k:])
                 if left is not None and right is not None:
-                    self._pair[left << 32 | right] = i
+                    if self._follow[left] is none:
+                        self._follow[left] = {}
+                    self._follow[left][right] = i
 
     def _resolved(self, pieces: list[str]) -> Iterator[bytes]:
         """Packed ids of pieces, by whole-piece lookup first and merging second."""
@@ -152,30 +155,34 @@ class Vocabulary:
                 yield b"".join(map(known.__getitem__, chunks))
 
     def _merge(self, piece: bytes) -> list[int]:
-        pair, n = self._pair.get, len(piece)
+        follow, n = self._follow, len(piece)
         part = [self._byte[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        # A heap entry is a token and the place of its left part, in one number.
-        heap = [made << 32 | i for i in range(n - 1) if (made := pair(part[i] << 32 | part[i + 1])) is not None]
-        heapq.heapify(heap)
+        # What each part makes with the next one. A heap entry is a token and the place of its left
+        # part, in one number, and is stale once another token, or none, can be made there.
+        makes = [follow[a].get(b) for a, b in pairwise(part)]
+        makes.append(None)
+        heap = [made * n + i for i, made in enumerate(makes) if made is not None]
+        heapify(heap)
         while heap:
-            entry = heapq.heappop(heap)
-            made, i = entry >> 32, entry & 0xFFFFFFFF
+            made, i = divmod(heappop(heap), n)
+            if makes[i] != made:
+                continue
             j = after[i]
-            if j >= n or part[i] is None or pair(part[i] << 32 | part[j]) != made:
-                continue  # one of the two has been merged meanwhile
-            part[i], part[j] = made, None
+            part[i], part[j], makes[j] = made, None, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                new = pair(made << 32 | part[k])
+                new = makes[i] = follow[made].get(part[k])
                 if new is not None:
-                    heapq.heappush(heap, new << 32 | i)
+                    heappush(heap, new * n + i)
+            else:
+                makes[i] = None
             h = before[i]
             if h >= 0:
-                new = pair(part[h] << 32 | made)
+                new = makes[h] = follow[part[h]].get(made)
                 if new is not None:
-                    heapq.heappush(heap, new << 32 | h)
+                    heappush(heap, new * n + h)
         return [p for p in part if p is not None]
 
     def decode(self, ids: bytes) -> bytes:

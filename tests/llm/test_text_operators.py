@@ -314,3 +314,25 @@ def test_unseen_identifiers_of_any_format_are_found(spark):
         start = text.index(value)
         assert got[first + i] == [f"found_{kind}:{start}:{start + len(value)}"], text
     assert got == _bootstrapped(texts)
+
+
+def test_merging_takes_the_lowest_rank_first():
+    rng = random.Random(8)
+    tokens = [bytes([b]) for b in range(256)]
+    known = set(tokens)
+    while len(tokens) < 700:
+        made = b"".join(rng.choices([t for t in tokens[97:103] + tokens[256:] if len(t) < 9], k=2))
+        if made not in known:
+            known.add(made)
+            tokens.append(made)
+    vocabulary = byte_bpe.Vocabulary(tokens, list(range(len(tokens))))
+    vocabulary._start()
+    assert max(map(len, vocabulary._follow)) <= len(tokens)
+    rank = {t: i for i, t in enumerate(tokens)}
+    for _ in range(400):
+        piece = bytes(rng.choices(b"abcdefxy", k=rng.randint(1, 40)))
+        part = [bytes([b]) for b in piece]
+        while pairs := [(rank[a + b], i) for i, (a, b) in enumerate(zip(part, part[1:])) if a + b in rank]:
+            _, i = min(pairs)
+            part[i:i + 2] = [part[i] + part[i + 1]]
+        assert vocabulary._merge(piece) == [rank[p] for p in part]
