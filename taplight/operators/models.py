@@ -49,8 +49,10 @@ def dga_detect(flows: DataFrame, model: PipelineModel) -> DataFrame:
     """Flows whose queried owner label scores above one half."""
     asked = flows.where(F.coalesce("dns_query", F.lit("")) != "") \
                  .withColumn("domain", registrable_label(F.col("dns_query")))
-    p = F.col("dga_probability")
-    hits = score_names(name_matrix(asked), model).where(p > 0.5) \
+    p = F.col("_p")
+    # Exploding keeps the hits and scores each row once; a filter would move below the column and score hits again.
+    scored = score_names(name_matrix(asked), model).withColumnRenamed("dga_probability", "_all")
+    hits = scored.withColumn("_p", F.explode(F.filter(F.array("_all"), lambda x: x > 0.5))) \
         .withColumn("_conf", F.greatest(p, 1 - p))
     items = F.array(
         evidence("domain_entropy", F.round("domain_entropy", 3), 0.3,

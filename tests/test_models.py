@@ -104,3 +104,24 @@ def test_forest_scores_are_those_of_a_walk_down_each_tree(spark, monkeypatch):
     for i, *x in rows:
         mean = sum(depth(r, x) for r in forest.roots) / len(forest.roots)
         assert abs(got[i] - (-2 ** (-mean / float(M._average_path(16))) - forest.offset)) < 1e-12
+
+
+def test_names_are_scored_once_and_cleaned_once(spark):
+    rows = spark.createDataFrame([(x, int(i % 2)) for i, x in enumerate(("abc.com", "x9q7z1k.net", "login.org", "q8w7e6.net"))],
+                                 "domain string, label int")
+    matrix = M.name_matrix(rows)
+    model = M.train_dga(matrix, rounds=2)
+    flows = spark.createDataFrame([("f1", "www.x9q7z1k.net"), ("f2", "abc.com"), ("f3", ""), ("f4", None)],
+                                  "flow_id string, dns_query string")
+    for name, kind in (("src_ip", "string"), ("dst_ip", "string"), ("src_port", "int"), ("dst_port", "int"),
+                       ("protocol", "string"), ("packet_count", "long"), ("bytes_transferred", "long"),
+                       ("duration_seconds", "double"), ("start_time", "double")):
+        flows = flows.withColumn(name, F.lit(None).cast(kind))
+    found = M.dga_detect(flows, model).select("flow_id", "confidence")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(UDF(UDF(") == 1
+    asked = flows.where("dns_query != ''").withColumn("domain", M.registrable_label(F.col("dns_query")))
+    scored = M.score_names(M.name_matrix(asked), model).where("dga_probability > 0.5")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, scored.select("flow_id", "dga_probability").collect()))
+    cleaned = matrix.select(*M.NAME_FEATURES)._jdf.queryExecution().optimizedPlan().toString()
+    assert cleaned.count("regexp_replace(domain") == 1
