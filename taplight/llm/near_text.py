@@ -216,7 +216,7 @@ def _compare(percent: int):
         return first + np.concatenate(left), first + np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, _BLOCK):
+        for rows in whole_groups(parted(batches, 2_000), _BLOCK):
             found = [links(rows, f, s) for f, s in zip(*group_sizes(rows, _BLOCK)) if s > 1]
             if not found:
                 continue

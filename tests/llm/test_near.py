@@ -154,3 +154,17 @@ def test_texts_are_taken_a_few_at_a_time():
     parts = list(parted(iter([batch, batch.slice(0, 0)])))
     assert [p.num_rows for p in parts] == [500, 500, 201]
     assert [n for p in parts for n in p.column(0).to_pylist()] == list(range(1201))
+
+
+def test_no_batch_is_held_while_the_next_is_read():
+    held = []
+
+    def batches():
+        for _ in range(3):
+            held.append(pa.total_allocated_bytes() - before)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(4_000_000))], names=["n"])
+
+    before = pa.total_allocated_bytes()
+    for part in parted(batches(), 1_000_000):
+        assert part.num_rows == 1_000_000
+    assert max(held) < 12_000_000
