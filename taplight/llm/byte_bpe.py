@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .common import Recent, parted
 from .shingles import mix
 
 #: Pieces and chunks that a worker remembers; up to twice as many are held.
 REMEMBERED, CHUNKS = 150_000, 50_000
 SLICE = 1_000_000
+#: Bytes of a piece that is merged without a heap.
+FEW = 32
 _LOAD = 4
 _CUT, _UNEVEN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^\s| \s|\s |\s$")
 
@@ -112,6 +114,7 @@ class Vocabulary:
         self._byte = [index.get(bytes([b])) for b in range(256)]
         # What a token makes with the one behind it: each split of a token into two tokens.
         none: dict[int, int] = {}
+        self._none = len(self.tokens)
         self._follow = [none] * len(self.tokens)
         for token, i in index.items():
             for k in range(1, len(token)):
@@ -121,6 +124,11 @@ class Vocabulary:
                         self._follow[left] = {}
                     self._follow[left][right] = i
 
+    def forget(self) -> None:
+        """Drops what is remembered, so that an idle worker does not hold it through other stages."""
+        if self._chunks is not None:
+            self._chunks, self._pieces = Recent(CHUNKS), Recent(REMEMBERED)
+
     def _resolved(self, pieces: list[str]) -> Iterator[bytes]:
         """Packed ids of pieces, by whole-piece lookup first and merging second."""
         raw = [p.encode() for p in pieces]
@@ -130,7 +138,8 @@ class Vocabulary:
 
     def _joined(self, chunks: list[str], pieces: regex.Pattern) -> Iterator[bytes]:
         """Packed ids of chunks. A chunk stands behind a space, or behind nothing if it begins with one."""
-        cut = [pieces.findall(c[1:] if c[0] == " " else " " + c) for c in chunks]
+        cut = [(" " + c,) if c.isascii() and c.isalpha() else pieces.findall(c[1:] if c[0] == " " else " " + c)
+               for c in chunks]
         known = self._pieces.filled(set().union(*cut), self._resolved)
         return (b"".join(map(known.__getitem__, c)) for c in cut)
 
@@ -155,6 +164,25 @@ class Vocabulary:
                 yield b"".join(map(known.__getitem__, chunks))
 
     def _merge(self, piece: bytes) -> list[int]:
+        return self._merge_few(piece) if len(piece) <= FEW else self._merge_many(piece)
+
+    def _merge_few(self, piece: bytes) -> list[int]:
+        """The leftmost best pair first, found by a look at all: cheaper than a heap for few."""
+        follow, none = self._follow, self._none
+        part = list(map(self._byte.__getitem__, piece))
+        makes = [follow[a].get(b, none) for a, b in pairwise(part)]
+        makes.append(none)
+        while (made := min(makes)) < none:
+            i = makes.index(made)
+            part[i] = made
+            del part[i + 1], makes[i]
+            if i + 1 < len(part):
+                makes[i] = follow[made].get(part[i + 1], none)
+            if i:
+                makes[i - 1] = follow[part[i - 1]].get(made, none)
+        return part
+
+    def _merge_many(self, piece: bytes) -> list[int]:
         follow, n = self._follow, len(piece)
         part = [self._byte[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -225,8 +253,9 @@ def _run(rows: DataFrame, path: str, schema: str, made) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches, 2_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), *made(shipped.value, batch.column(1))], names=names)
+        shipped.value.forget()
     return rows.mapInArrow(run, schema)
 
 

@@ -336,3 +336,7 @@ def test_merging_takes_the_lowest_rank_first():
             _, i = min(pairs)
             part[i:i + 2] = [part[i] + part[i + 1]]
         assert vocabulary._merge(piece) == [rank[p] for p in part]
+        assert vocabulary._merge_few(piece) == vocabulary._merge_many(piece)
+    assert len(b"".join(vocabulary.packed(["abc abd " * 9, "x"], regex.compile(r" ?\w+|\s")))) and vocabulary._pieces.young
+    vocabulary.forget()
+    assert not vocabulary._pieces.young and not vocabulary._chunks.young
