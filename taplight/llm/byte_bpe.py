@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, parted
+from .common import Recent, lean, parted
 from .shingles import mix
 
 #: Pieces and chunks that a worker remembers; up to twice as many are held.
-REMEMBERED, CHUNKS = 150_000, 50_000
-SLICE = 1_000_000
+REMEMBERED, CHUNKS = 100_000, 50_000
+SLICE = 250_000
 #: Bytes of a piece that is merged without a heap.
 FEW = 32
 _LOAD = 4
@@ -257,7 +257,7 @@ def _run(rows: DataFrame, path: str, schema: str, made) -> DataFrame:
         for batch in parted(batches, 2_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), *made(shipped.value, batch.column(1))], names=names)
         shipped.value.forget()
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean, parted
+
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS = 400
 PART = 4096
@@ -67,7 +69,9 @@ def dictionaries(training: DataFrame, size: int = DICTIONARY_BYTES, rows: int =
             order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).withColumn(
         "nth", F.row_number().over(order)).where((F.col("nth") <= rows) & (F.col("before") < size))
     chosen = [(r["lang"], r["h"]) for r in keys.select("lang", "h").collect()]
-    wanted = training.sparkSession.createDataFrame(chosen, "l string, k long")
+    # From Arrow: a list would go through Python workers of another kind, which then stand idle beside these.
+    wanted = training.sparkSession.createDataFrame(pa.table({
+        "l": pa.array([lang for lang, _ in chosen], pa.string()), "k": pa.array([h for _, h in chosen], pa.int64())}))
     length = F.char_length("text")
     window = F.substring(F.col("text"), F.when(length > part, F.pmod(F.col("h"), length - part + 1) + 1).otherwise(
         1).cast("int"), F.lit(part))
@@ -89,7 +93,7 @@ def _classify(shipped, margin: float, at: int, width: int):
             made.precompute_compress(level=LEVEL)
             packers.append(zstandard.ZstdCompressor(
                 level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False))
-        for batch in batches:
+        for batch in parted(batches):
             pred, score, lead, out = [], [], [], []
             for value in batch.column(at):
                 raw = letters(value.as_py())
@@ -133,7 +137,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], keep: list[str], margin
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in names),
                         "lang_pred string, score double, margin double, rejected boolean"])
-    return rows.mapInArrow(_classify(shipped, margin, at, len(keep)), schema).select(
+    return rows.mapInArrow(lean(_classify(shipped, margin, at, len(keep))), schema).select(
         *[F.col(n).alias(c) for c, n in zip(keep, names)], F.struct(*FIELDS).alias("language_"))
 
 

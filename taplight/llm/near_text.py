@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_sizes, likely, local_roots, parted, row_key, whole_groups, without_rows, written
+from .common import group_sizes, lean, likely, local_roots, parted, row_key, whole_groups, without_rows, written
 from .components import connected_components
 from .shingles import in_chunks, mix, shingle_sets
 
@@ -95,7 +95,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """Set size, set digest and MinHash sketch of each row's text; null parts for empty sets."""
-    return _keyed(docs).mapInArrow(_sketch_batches, _SKETCH)
+    return _keyed(docs).mapInArrow(lean(_sketch_batches), _SKETCH)
 
 
 def similarity_bound(percent: int = PERCENT) -> float:
@@ -160,7 +160,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     left = texts.select(F.col("k").alias("a_row_key"), F.col("text").alias("a_text"))
     right = texts.select(F.col("k").alias("b_row_key"), F.col("text").alias("b_text"))
     return pairs.join(left, "a_row_key").join(right, "b_row_key").select(
-        "a", "b", "a_text", "b_text").mapInArrow(_confirm(percent), "a binary, b binary")
+        "a", "b", "a_text", "b_text").mapInArrow(lean(_confirm(percent)), "a binary, b binary")
 
 
 _BLOCK = ["band", "lo", "hi"]
@@ -243,7 +243,7 @@ def _between_components(members: DataFrame, docs: DataFrame, percent: int) -> Da
         "band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk",
         "a", "a_n", "a_planes", "root", F.col("a_row_key").alias("k"))
     return blocks.join(texts, "k").drop("k").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(
-        _compare(percent), "a binary, b binary")
+        lean(_compare(percent)), "a binary, b binary")
 
 
 def _side(classes: DataFrame, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import regex
 import xxhash
 import zstandard
@@ -108,3 +109,21 @@ def test_copies_are_collected_once(spark, monkeypatch):
     assert language.dictionaries(docs)["en"] == b"one text that is copied"
     assert max(map(len, seen)) <= 2
     assert language.dictionaries(docs.where("lang is null")) == {}
+
+
+def test_sample_is_taken_without_python_workers(monkeypatch, spark):
+    docs = spark.sql("SELECT id AS doc_id, concat('word ', id) AS text, 'aa' AS lang FROM range(50)")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: 1 / 0)
+    assert set(language.dictionaries(docs)) == {"aa"}
+    assert language.dictionaries(docs.where("lang is null")) == {}
+
+
+def test_texts_are_judged_a_few_at_a_time():
+    class Shipped:
+        value = {"aa": b"abba deda " * 50, "bb": b"figh hif " * 50}
+
+    batch = pa.RecordBatch.from_pydict({"c0": list(range(1201)), "t": ["abba deda"] * 1200 + [None]})
+    parts = list(language._classify(Shipped, 0.0, 1, 1)(iter([batch])))
+    assert [p.num_rows for p in parts] == [500, 500, 201]
+    assert [n for p in parts for n in p.column(0).to_pylist()] == list(range(1201))
+    assert [n for p in parts for n in p.column(1).to_pylist()] == ["aa"] * 1200 + ["und"]

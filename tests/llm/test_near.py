@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import reference
-from taplight.llm import near_text, vector_links
+from taplight.llm import common, near_text, vector_links
 from taplight.llm.common import parted
 from taplight.llm.components import connected_components
 
@@ -168,3 +168,34 @@ def test_no_batch_is_held_while_the_next_is_read():
     for part in parted(batches(), 1_000_000):
         assert part.num_rows == 1_000_000
     assert max(held) < 12_000_000
+
+
+def test_workers_give_back_what_a_task_freed(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "_give_back", lambda: done.append(sum(seen)))
+    seen = []
+
+    def run(batches):
+        for batch in batches:
+            seen.append(batch.num_rows)
+            yield batch
+
+    batch = pa.RecordBatch.from_pydict({"n": [1, 2, 3]})
+    assert [b.num_rows for b in common.lean(run)(iter([batch, batch]))] == [3, 3]
+    assert done == [6]
+
+
+def test_giving_back_frees_what_small_values_took():
+    def now() -> int:
+        with open("/proc/self/smaps_rollup") as lines:
+            return sum(int(line.split()[1]) for line in lines if line.startswith("Pss_Anon:"))
+
+    kept, texts = [], []
+    for i in range(60_000):
+        texts.append(bytes(4_000))
+        if i % 1_000 == 0:
+            kept.append(bytes(4_000))
+    full = now()
+    texts.clear()
+    common._give_back()
+    assert full - now() > 150_000 and len(kept) == 60
