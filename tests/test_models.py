@@ -86,6 +86,26 @@ def test_ablation_cost(spark):
     assert (row.cost, row.regained) == (0.5, 0.4)
 
 
+def test_each_ablation_mode_has_its_own_verdicts(spark):
+    from taplight.plans import evaluation as P
+    # label, source port (its remainder by 24 is how few answers an attack has), port, protocol, packets, bytes, seconds
+    rows = [("ddos", 24 * 50 + 15, 80, "tcp", 400, 400_000, 20.0),       # both directions only
+            ("ddos", 24 * 50, 80, "tcp", 4000, 4_000_000, 20.0),         # substitutes only
+            ("ddos", 24 * 50, 80, "tcp", 40_000, 4_000_000, 20.0),       # always
+            ("exfiltration", 24 * 50 + 23, 80, "tcp", 40, 40_000, 20.0),  # both directions only
+            ("benign", 24 * 50 + 23, 80, "udp", 40, 40_000, 20.0)]       # answers 23 times the request
+    flows = spark.createDataFrame([(f"f{i}", *r, {}, "", 0) for i, r in enumerate(rows)], "flow_id string, label string, "
+        "src_port int, dst_port int, protocol string, packet_count long, bytes_transferred long, duration_seconds double, "
+        "raw_features map<string,double>, dns_query string, dns_qtype int")
+    found = E.one_sided_ablation(P._both_directions(flows), P._found_by_direction, ("ddos", "exfiltration"))
+    got = {(r["mode"], r["class"]): (r["tp"], r["fp"], r["fn"]) for r in found.collect()}
+    assert got == {("bidirectional", "ddos"): (2, 1, 1), ("unidirectional", "ddos"): (1, 0, 2), ("recovered", "ddos"): (2, 0, 1),
+                   ("bidirectional", "exfiltration"): (1, 0, 0), ("unidirectional", "exfiltration"): (0, 0, 1),
+                   ("recovered", "exfiltration"): (0, 0, 1)}
+    cost = {r["class"]: (r["cost"], r["regained"]) for r in E.ablation_cost(found).collect()}
+    assert cost["ddos"][0] > 0 and cost["ddos"][1] > 0 and cost["exfiltration"] == (1.0, 0.0)
+
+
 def test_forest_scores_are_those_of_a_walk_down_each_tree(spark, monkeypatch):
     monkeypatch.setattr(M, "_SCORED", 7)
     rows = [(i, float(i * 37 % 101), None if i % 9 == 4 else float(i * 53 % 97)) for i in range(60)]
