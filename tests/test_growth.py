@@ -77,6 +77,33 @@ def test_loss_study_judges_copies_without_shuffling_them(spark):
     assert "shiftleft" in plan and "loss#" in plan and "collect_set" not in plan
 
 
+def test_copies_that_are_alike_are_judged_once(spark):
+    schema = "flow_id string, label string, packet_count long, bytes_transferred long, duration_seconds double, " \
+        "start_time double, end_time double, timestamps array<double>, raw_features map<string,double>"
+    times, flows = [float(i) for i in range(30)], []
+    for i in range(40):
+        flows.append((f"t{i}", "ddos", 30, 4000, 29.0, 0.0, 29.0, times, None))                            # drawn packets
+        flows.append((f"n{i}", "exfiltration", 25, 3100 + i, 1.0, 0.0, 1.0, None, {"query_frequency": 2.0}))  # no draw
+        flows.append((f"f{i}", "ddos", 25, 100, 1.0, 0.0, 1.0, [], {"syn_to_ack_ratio": 2.0}))              # a drawn feature
+    labelled, sizes, trials = spark.createDataFrame([*flows, flows[1], (None, *flows[4][1:])], schema), [], 25
+
+    def judged(copies):
+        sizes.append(copies.count())
+        syn = copies.where(F.try_element_at("raw_features", F.lit("syn_to_ack_ratio")) > 2.2).select(
+            "flow_id", F.lit("ddos").alias("threat_class"))
+        return _judged(copies).unionByName(syn)
+
+    copies = E.packet_loss_resample(labelled, trials=trials).withColumn("flow_id", F.concat_ws(
+        "#", "flow_id", F.col("loss").cast("string"), F.col("trial").cast("string")))
+    outcomes = E._outcomes(copies.select("flow_id", "label", "loss", "trial"), judged(copies).withColumn("x", F.lit(1)))
+    scores = E._class_scores(outcomes, ("ddos", "exfiltration"), ["loss", "trial"], True).where("tp + fp + fn > 0")
+    wanted = scores.groupBy("loss", "trial").agg(F.round(F.avg("f1"), 4).alias("f")).groupBy("loss").agg(
+        F.round(F.avg("f"), 4), F.count(F.lit(1)))
+    found = E.loss_study(labelled, judged, ("ddos", "exfiltration"), trials=trials)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    assert sizes == [122 * 6 * trials, 80 * (1 + 5 * trials) + 42 * 6]
+
+
 def test_one_draw_a_trial_serves_all_levels(spark):
     out = E.packet_loss_resample(_labelled(spark), partitions=3)
     assert out.rdd.getNumPartitions() == 3
