@@ -104,6 +104,21 @@ def test_copies_that_are_alike_are_judged_once(spark):
     assert sizes == [122 * 6 * trials, 80 * (1 + 5 * trials) + 42 * 6]
 
 
+def test_all_detectors_share_one_numbered_table(spark, monkeypatch):
+    from taplight.operators import beacon, common, ddos, lifecycle
+    rows = [(f"f{i}", "a", "b", 1, 443, "tcp", 40_000, 4_000_000, 1.0, 60.0 * i, [443], {}, "", 0) for i in range(12)]
+    flows = spark.createDataFrame(rows, "flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, "
+        "packet_count long, bytes_transferred long, duration_seconds double, start_time double, dst_ports array<int>, "
+        "raw_features map<string,double>, dns_query string, dns_qtype int")
+    apart = ddos.ddos_detect(flows).unionByName(beacon.beacon_detect(flows)).select("flow_id", "detector", "confidence")
+    want, made = sorted(map(tuple, apart.collect())), []
+    for module in (beacon, ddos, lifecycle):
+        monkeypatch.setattr(module, "with_copy_number", lambda *a: made.append(a) or common.with_copy_number(*a), raising=False)
+    found = lifecycle.detect_all(flows).where("detector in ('ddos', 'beacon')").select("flow_id", "detector", "confidence")
+    assert sorted(map(tuple, found.collect())) == want and {r[1] for r in want} == {"ddos", "beacon"}
+    assert len(made) == 1
+
+
 def test_one_draw_a_trial_serves_all_levels(spark):
     out = E.packet_loss_resample(_labelled(spark), partitions=3)
     assert out.rdd.getNumPartitions() == 3
